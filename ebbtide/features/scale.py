@@ -159,8 +159,11 @@ class QuantileScalerModel(ColumnModel):
             .when(F.col("_x") == left, (F.get(low, slot - 1) + F.get(high, slot - 1)) / 2)
             .otherwise(between)
         )
-        scaled = uniform if self.getOrDefault(self.output) == "uniform" else probit(uniform)
-        return found.withColumn(out, scaled).drop("_x", "_slot")
+        result = found.withColumn(out, uniform).drop("_x", "_slot")
+        if self.getOrDefault(self.output) == "normal":
+            # over the finished column: the formula names its input many times
+            result = result.withColumn(out, probit(F.col(out)))
+        return result
 
 
 # Coefficients of Acklam's rational approximation of the inverse normal
