@@ -1,82 +1,27 @@
-"""Shapley values of tree and linear models as Spark jobs.
-
-For a tree model the value of a feature set is the expectation over the tree when the other
-features are left to the training shares (path-dependent tree SHAP). Each leaf is a small
-game of its own: a product over the features of its path. Weights of coalitions are Beta
-integrals, so the sum over coalitions is the integral of a polynomial of degree d - 1, which
-Gauss-Legendre quadrature with d / 2 points gives exactly.
-"""
+"""Shapley values of tree and linear models as Spark jobs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.explain.trees import Leaf, leaves
+from ebbtide.explain import leafgame
+from ebbtide.explain.trees import leaves
 from ebbtide.features.builder import FEATURES, feature_names
 from ebbtide.models.storage import split_model
 from ebbtide.schema import USER
 
-TABLE_DEPTH = 8  # paths up to this many features are looked up in a table of all patterns
-
-
-def leaf_contributions(satisfied: np.ndarray, cover: np.ndarray, value: float) -> np.ndarray:
-    """Shapley values (rows x features) of one leaf for 0/1 patterns of satisfied tests."""
-    depth = len(cover)
-    points, weights = np.polynomial.legendre.leggauss((depth + 1) // 2)
-    t, w = (points + 1) / 2, weights / 2
-    o = satisfied.astype(float)
-    factors = o[:, :, None] * t + cover[None, :, None] * (1 - t)
-    before = np.ones_like(factors)
-    after = np.ones_like(factors)
-    for i in range(1, depth):
-        before[:, i] = before[:, i - 1] * factors[:, i - 1]
-        after[:, -i - 1] = after[:, -i] * factors[:, -i]
-    others = ((before * after) * w).sum(axis=2)
-    return value * (o - cover) * others
-
-
-def _patterns(codes: np.ndarray, depth: int) -> np.ndarray:
-    return (codes[:, None] >> np.arange(depth)) & 1
-
-
-class LeafGame:
-    """One leaf, ready to explain batches of rows."""
-
-    def __init__(self, leaf: Leaf):
-        self.features = np.array(leaf.features, dtype=int)
-        self.low, self.high = np.array(leaf.low), np.array(leaf.high)
-        self.cover, self.value = np.array(leaf.cover), leaf.value
-        depth = len(self.features)
-        self.table = None
-        if 0 < depth <= TABLE_DEPTH:
-            every = _patterns(np.arange(2**depth), depth)
-            self.table = leaf_contributions(every, self.cover, self.value)
-
-    def add_to(self, rows: np.ndarray, out: np.ndarray) -> None:
-        depth = len(self.features)
-        if depth == 0:
-            return
-        x = rows[:, self.features]
-        inside = (x > self.low) & (x <= self.high)
-        codes = inside @ (1 << np.arange(depth, dtype=np.int64))
-        if self.table is not None:
-            out[:, self.features] += self.table[codes]
-            return
-        distinct, position = np.unique(codes, return_inverse=True)
-        values = leaf_contributions(_patterns(distinct, depth), self.cover, self.value)
-        out[:, self.features] += values[position]
-
-    @property
-    def expected(self) -> float:
-        return float(self.value * np.prod(self.cover))
+# shipped with the task, so that executors need not have this package installed
+cloudpickle.register_pickle_by_value(leafgame)
 
 
 def tree_shap(model: PipelineModel, users: DataFrame) -> DataFrame:
@@ -87,19 +32,18 @@ def tree_shap(model: PipelineModel, users: DataFrame) -> DataFrame:
     """
     stages, trees = split_model(model)
     spark = users.sparkSession
-    games = [LeafGame(leaf) for leaf in leaves(spark, trees)]
-    base = sum(game.expected for game in games)
+    found = leaves(spark, trees)
+    base = sum(leaf.value * math.prod(leaf.cover) for leaf in found)
+    games = [leafgame.prepare(l.features, l.low, l.high, l.cover, l.value) for l in found]
     shared = spark.sparkContext.broadcast(games)
+    explain_rows = leafgame.explain_rows
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             rows = np.stack(batch["features"].to_numpy())
-            out = np.zeros_like(rows)
-            for game in shared.value:
-                game.add_to(rows, out)
-            yield batch.assign(shap=list(out), base=base)
+            yield batch.assign(shap=list(explain_rows(rows, shared.value)), base=base)
 
     vectors = stages.transform(users).select(USER, vector_to_array(FEATURES).alias("features"))
     return vectors.mapInPandas(

@@ -6,6 +6,7 @@ parameters reach the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -28,6 +29,7 @@ from ebbtide.session import ensure_checkpoint_dir
 
 SEED = 42
 WEIGHT = "_weight"
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -131,6 +133,12 @@ def training_columns(recipe: Recipe, df: DataFrame) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions for a small frame: iterations pay for every task. Large frames keep theirs."""
+    wanted = math.ceil(rows / ROWS_PER_TASK)
+    return df.coalesce(max(1, wanted)) if wanted < df.rdd.getNumPartitions() else df
+
+
 def fit_recipe(recipe: Recipe | str, train: DataFrame) -> PipelineModel:
     """Fit features and classifier. The model holds all stages and scores raw user rows."""
     recipe = RECIPES[recipe] if isinstance(recipe, str) else recipe
@@ -138,8 +146,9 @@ def fit_recipe(recipe: Recipe | str, train: DataFrame) -> PipelineModel:
     kept = training_columns(recipe, train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = kept.count()
-        prepared = Pipeline(stages=recipe_stages(recipe)).fit(kept)
-        featured = prepared.transform(kept)
+        compacted = compact(kept, rows)
+        prepared = Pipeline(stages=recipe_stages(recipe)).fit(compacted)
+        featured = prepared.transform(compacted)
         learned = classifier(recipe, rows, len(feature_names(featured))).fit(featured)
     finally:
         kept.unpersist()
