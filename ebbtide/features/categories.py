@@ -217,11 +217,15 @@ class TokenVectorizerModel(ColumnModel):
         tokens = _tokens(
             column, self.getOrDefault(self.separator), self.getOrDefault(self.lowercase)
         )
-        cells = []
-        for word in self.getOrDefault(self.words)[position]:
-            if self.getOrDefault(self.binary):
-                cell = F.array_contains(tokens, word).cast("double")
+        binary = self.getOrDefault(self.binary)
+
+        def cell(word: str):
+            if binary:
+                found = F.array_contains(tokens, word)
             else:
-                cell = F.size(F.filter(tokens, lambda t, w=word: t == w)).cast("double")
-            cells.append(F.coalesce(cell, F.lit(0.0)))
+                found = F.size(F.filter(tokens, lambda t: t == word))
+            # a missing text has no tokens; the size of a missing array may be -1
+            return F.when(tokens.isNotNull(), found.cast("double")).otherwise(F.lit(0.0))
+
+        cells = [cell(word) for word in self.getOrDefault(self.words)[position]]
         return F.array(*cells) if cells else F.array().cast("array<double>")

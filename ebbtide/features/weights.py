@@ -24,6 +24,7 @@ class LabelWeighter(Estimator, _Weighted):
     @keyword_only
     def __init__(self, *, labelCol="churned", weightCol="_weight", scheme="balanced"):
         super().__init__()
+        self._setDefault(labelCol="churned", weightCol="_weight", scheme="balanced")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "LabelWeighterModel":
@@ -46,6 +47,7 @@ class LabelWeighterModel(Model, _Weighted):
     @keyword_only
     def __init__(self, *, labelCol="churned", weightCol="_weight", weights=None):
         super().__init__()
+        self._setDefault(labelCol="churned", weightCol="_weight")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:

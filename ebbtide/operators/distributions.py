@@ -120,11 +120,18 @@ def boxplot_stats(
 def pairwise_correlations(
     df: DataFrame, columns: tuple[str, ...] = COUNTERS, label: str | None = LABEL
 ) -> DataFrame:
-    """Pearson correlation of every pair of columns, per label, in one pass."""
+    """Pearson correlation of every pair of columns, per label, in one pass.
+
+    NULL for a pair with a constant column.
+    """
     pairs = list(combinations(columns, 2))
     by = [label] if label else []
+    # deviations are aggregated once per column and shared by its pairs
     wide = df.groupBy(*by).agg(
-        *[F.corr(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs)],
+        *[
+            F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}")
+            for i, (x, y) in enumerate(pairs)
+        ],
         F.count("*").alias("n"),
     )
     rows = [

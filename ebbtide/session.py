@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(app: str = "ebbtide", master: str | None = None, partitions: int | None = None):
     """A session with the settings the jobs rely on; cluster settings stay with spark-submit."""
@@ -34,18 +36,17 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF
-    )
+    root = spark.conf.get(CHECKPOINT_CONF, None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(
             f"{CHECKPOINT_CONF} is not set: stage tables need a folder all executors can reach"
         )
-    root = tempfile.mkdtemp(prefix="ebbtide-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="ebbtide-")
+    return _local_roots[app]
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
