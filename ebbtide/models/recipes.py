@@ -112,6 +112,7 @@ def classifier(recipe: Recipe, rows: int, width: int):
             "featureSubsetStrategy": "sqrt",
             "impurity": "gini",
             "maxMemoryInMB": 1024,
+            "cacheNodeIds": True,  # deep trees: rows remember their node between levels
             "seed": SEED,
         }
         return RandomForestClassifier(**common, **{**defaults, **recipe.params})

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.frequencies import value_frequencies
+from ebbtide.operators.frequencies import name_at, unfold, value_frequencies
 from ebbtide.schema import COUNTERS, FIRST_SEEN, LABEL
 
 
 def mean_var(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and sample variance of several columns in one pass."""
-    one_row = df.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-        *[F.var_samp(c).alias(f"var_{c}") for c in columns],
+    moments = unfold(df, columns, kind="double").groupBy("position").agg(
+        F.avg("value").alias("mean"), F.var_samp("value").alias("variance")
     )
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"mean_{c}").alias("mean"),
-            F.col(f"var_{c}").alias("variance"),
-        )
-        for c in columns
-    ]
-    return one_row.select(F.inline(F.array(*rows)))
+    return moments.select(name_at(columns).alias("column"), "mean", "variance")
 
 
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -89,13 +78,12 @@ def boxplot_stats(
         q = F.percentile("value", quartiles, F.col("cnt"))
         boxes = freq.groupBy(label, "column").agg(q.alias("_q"))
     else:
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-        )
+        q = F.percentile_approx("value", quartiles, F.lit(10000))
         boxes = (
-            df.select(label, F.inline(cells))
-            .groupBy(label, "column")
-            .agg(F.percentile_approx("value", quartiles, F.lit(10000)).alias("_q"))
+            unfold(df, columns, [label], "double")
+            .groupBy(label, "position")
+            .agg(q.alias("_q"))
+            .withColumn("column", name_at(columns))
         )
     boxes = boxes.select(
         label,
@@ -117,28 +105,42 @@ def boxplot_stats(
     )
 
 
+def _pairs(df: DataFrame, values: Column, keep: list[str]) -> DataFrame:
+    """One row per pair of positions of an array: (keep..., x_at, y_at, x_value, y_value)."""
+    first = df.select(*keep, values.alias("_v")).select(
+        *keep, "_v", F.posexplode("_v").alias("x_at", "x_value")
+    )
+    rest = F.slice("_v", F.col("x_at") + 2, F.size("_v"))
+    second = first.select(*keep, "x_at", "x_value", F.posexplode(rest).alias("_k", "y_value"))
+    return second.withColumn("y_at", F.col("x_at") + F.col("_k") + 1).drop("_k")
+
+
 def pairwise_correlations(
     df: DataFrame, columns: tuple[str, ...] = COUNTERS, label: str | None = LABEL
 ) -> DataFrame:
-    """Pearson correlation of every pair of columns, per label, in one pass.
+    """Pearson correlation of every pair of columns, per label, over rows that have both values.
 
-    NULL for a pair with a constant column.
+    NULL for a pair with a constant column. Rows are unfolded into pairs and combined
+    again in the same stage: one small aggregate instead of one with hundreds of buffers,
+    which would be too large to be compiled.
     """
-    pairs = list(combinations(columns, 2))
     by = [label] if label else []
-    # deviations are aggregated once per column and shared by its pairs
-    wide = df.groupBy(*by).agg(
-        *[
-            F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}")
-            for i, (x, y) in enumerate(pairs)
-        ],
-        F.count("*").alias("n"),
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    pairs = _pairs(df, values, by)
+    x = F.when(F.col("y_value").isNotNull(), F.col("x_value"))
+    y = F.when(F.col("x_value").isNotNull(), F.col("y_value"))
+    corr = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return (
+        pairs.groupBy(*by, "x_at", "y_at")
+        .agg(F.count("*").alias("n"), corr.alias("corr"))
+        .select(
+            *by,
+            "n",
+            name_at(list(columns), "x_at").alias("x"),
+            name_at(list(columns), "y_at").alias("y"),
+            "corr",
+        )
     )
-    rows = [
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("corr"))
-        for i, (x, y) in enumerate(pairs)
-    ]
-    return wide.select(*by, "n", F.inline(F.array(*rows)))
 
 
 def pairwise_bins(
@@ -147,41 +149,37 @@ def pairwise_bins(
     """Two-dimensional histograms of every pair of columns per label.
 
     Users are first combined by the bins of all columns, so that the pairs are formed on
-    the few distinct bin vectors and not on the users.
+    the distinct bin vectors and not on the users.
     """
     limits = df.agg(
-        *[F.min(c).cast("double").alias(f"_lo_{c}") for c in columns],
-        *[F.max(c).cast("double").alias(f"_hi_{c}") for c in columns],
+        F.array(*[F.min(c).cast("double") for c in columns]).alias("_low"),
+        F.array(*[F.max(c).cast("double") for c in columns]).alias("_high"),
     )
+    cells = F.arrays_zip(
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("v"),
+        F.col("_low").alias("low"),
+        F.col("_high").alias("high"),
+    )
+    binned = F.transform(cells, lambda c: bin_index(c["v"], c["low"], c["high"], bins))
     vectors = (
         df.select(label, *columns)
         .crossJoin(F.broadcast(limits))
-        .select(
-            label,
-            *[
-                bin_index(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), bins).alias(c)
-                for c in columns
-            ],
-        )
-        .groupBy(label, *columns)
+        .groupBy(label, binned.alias("_bins"))
         .agg(F.count("*").alias("_n"))
     )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("x"),
-                F.lit(y).alias("y"),
-                F.col(x).alias("x_bin"),
-                F.col(y).alias("y_bin"),
-            )
-            for x, y in combinations(columns, 2)
-        ]
-    )
     return (
-        vectors.select(label, "_n", F.inline(pairs))
-        .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
-        .groupBy(label, "x", "y", "x_bin", "y_bin")
+        _pairs(vectors, F.col("_bins"), [label, "_n"])
+        .where(F.col("x_value").isNotNull() & F.col("y_value").isNotNull())
+        .groupBy(label, "x_at", "y_at", "x_value", "y_value")
         .agg(F.sum("_n").alias("cnt"))
+        .select(
+            label,
+            name_at(list(columns), "x_at").alias("x"),
+            name_at(list(columns), "y_at").alias("y"),
+            F.col("x_value").alias("x_bin"),
+            F.col("y_value").alias("y_bin"),
+            "cnt",
+        )
     )
 
 

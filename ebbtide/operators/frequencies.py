@@ -79,6 +79,22 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
+def unfold(
+    df: DataFrame, columns: list[str], by: list[str] | None = None, kind: str = "string"
+) -> DataFrame:
+    """One row (by..., position, value) per cell of the given columns.
+
+    Columns are numbered, so that grouping works on an integer; `name_at` gives the name
+    back after the aggregation.
+    """
+    cells = F.array(*[F.col(c).cast(kind) for c in columns])
+    return df.select(*(by or []), F.posexplode(cells).alias("position", "value"))
+
+
+def name_at(columns: list[str], position: str = "position") -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(position) + 1)
+
+
 def value_frequencies(
     df: DataFrame, columns: list[str], by: list[str] | None = None, kind: str = "string"
 ) -> DataFrame:
@@ -86,28 +102,22 @@ def value_frequencies(
 
     One shuffle for all columns; equal values are combined before it.
     """
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
-    )
     by = by or []
-    return (
-        df.select(*by, F.inline(cells)).groupBy(*by, "column", "value").agg(F.count("*").alias("cnt"))
+    counted = unfold(df, columns, by, kind).groupBy(*by, "position", "value")
+    return counted.agg(F.count("*").alias("cnt")).select(
+        *by, name_at(columns).alias("column"), "value", "cnt"
     )
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Distinct values of each column as they are and in lower case."""
     if approximate:
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
+        sketches = unfold(df, columns).groupBy("position").agg(
+            F.approx_count_distinct("value").alias("n_distinct"),
+            F.approx_count_distinct(F.lower("value")).alias("n_distinct_lower"),
         )
-        return (
-            df.select(F.inline(cells))
-            .groupBy("column")
-            .agg(
-                F.approx_count_distinct("value").alias("n_distinct"),
-                F.approx_count_distinct(F.lower("value")).alias("n_distinct_lower"),
-            )
+        return sketches.select(
+            name_at(columns).alias("column"), "n_distinct", "n_distinct_lower"
         )
     values = value_frequencies(df, columns)
     lowered = values.groupBy("column", F.lower("value").alias("lower_value")).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.operators.distributions import pairwise_correlations
-from ebbtide.operators.frequencies import value_frequencies
+from ebbtide.operators.frequencies import name_at, unfold, value_frequencies
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -52,36 +52,36 @@ def _count_stats(freq: DataFrame) -> DataFrame:
 def _number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Moments of the numeric columns in one pass."""
     stats = {
-        "min": F.min,
-        "max": F.max,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "sum": F.sum,
-        "zeros": lambda c: F.count_if(F.col(c) == 0),
+        "min": F.min("value"),
+        "max": F.max("value"),
+        "mean": F.avg("value"),
+        "std": F.stddev_samp("value"),
+        "sum": F.sum("value"),
+        "zeros": F.count_if(F.col("value") == 0),
     }
-    one_row = df.agg(*[f(c).alias(f"{stat}__{c}") for stat, f in stats.items() for c in columns])
-    cells = [_cell(c, stat, F.col(f"{stat}__{c}")) for stat in stats for c in columns]
-    return one_row.select(F.inline(F.array(*cells)))
+    moments = (
+        unfold(df, columns, kind="double")
+        .groupBy("position")
+        .agg(*[f.alias(stat) for stat, f in stats.items()])
+    )
+    cells = [_cell(name_at(columns), stat, F.col(stat)) for stat in stats]
+    return moments.select(F.inline(F.array(*cells)))
 
 
 def _quantile_stats(df: DataFrame, columns: list[str], exact: bool) -> DataFrame:
     points = F.array(*[F.lit(q) for q in QUANTILES])
     if exact:
         freq = value_frequencies(df, columns, kind="double").where(F.col("value").isNotNull())
-        quantiles = freq.groupBy("column").agg(F.percentile("value", points, F.col("cnt")).alias("q"))
+        quantile = F.percentile("value", points, F.col("cnt"))
     else:
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-        quantiles = (
-            df.select(F.inline(F.array(*cells)))
-            .groupBy("column")
-            .agg(F.percentile_approx("value", points, F.lit(10000)).alias("q"))
-        )
-    name = F.col("column")
-    return quantiles.select(
-        F.inline(
-            F.array(*[_cell(name, f"q{int(q * 100):02d}", F.col("q")[i]) for i, q in enumerate(QUANTILES)])
-        )
-    )
+        freq = unfold(df, columns, kind="double").withColumn("column", name_at(columns))
+        quantile = F.percentile_approx("value", points, F.lit(10000))
+    quantiles = freq.groupBy("column").agg(quantile.alias("q"))
+    cells = [
+        _cell(F.col("column"), f"q{int(q * 100):02d}", F.col("q")[i])
+        for i, q in enumerate(QUANTILES)
+    ]
+    return quantiles.select(F.inline(F.array(*cells)))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
