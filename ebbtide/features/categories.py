@@ -29,17 +29,21 @@ def common_categories(
     the least frequent category.
     """
     freq = value_frequencies(df, columns).where(F.col("value").isNotNull())
-    totals = freq.groupBy("column").agg(F.sum("cnt").alias("_total"))
     if order == "value":
         keyed, descending = freq.withColumn("_key", text_order_key("value")), False
     else:
         keyed, descending = freq.withColumn("_key", F.col("cnt")), True
     running = running_totals(
-        keyed, "_key", {"cnt": "_upto"}, by=["column"], ties=["value"], descending=descending
+        keyed,
+        "_key",
+        {"cnt": "_upto"},
+        by=["column"],
+        ties=["value"],
+        descending=descending,
+        totals={"cnt": "_total"},
     )
     return (
-        running.join(F.broadcast(totals), "column")  # one row per column name
-        .withColumn("share", F.col("_upto") / F.col("_total"))
+        running.withColumn("share", F.col("_upto") / F.col("_total"))
         .where(F.col("share") < threshold)
         .select("column", "value", "cnt", "share")
     )

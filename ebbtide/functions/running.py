@@ -6,31 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_CUT = 8  # sampled rows per range
+
+
 def text_order_key(col: str | Column) -> Column:
     """A number that grows with the byte order of a text: its first seven bytes."""
     head = F.substring(F.encode(col, "UTF-8"), 1, 7)
     return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
 
 
-def with_ranges(
-    df: DataFrame, key: str, by: list[str] | None = None, ranges: int = 200
-) -> DataFrame:
+def with_ranges(df: DataFrame, key: str, ranges: int = 200) -> DataFrame:
     """Add `_range`: about equally filled ranges of the numeric `key`, numbered from below.
 
-    The cuts are approximate quantiles, at most `ranges` numbers per group of `by`.
+    The cuts come from a fixed number of rows, those with the smallest hash. They are the
+    same however often and in whatever order tasks run, which approximate quantiles are
+    not: two branches of a plan that cut the same frame must agree. Hashing whole rows also
+    keeps all columns alive, so that the branches share one shuffle of `df`.
     """
-    by = by or []
-    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = F.percentile_approx(key, points, F.lit(10 * ranges)).alias("_cuts")
-    if by:
-        same = [F.col(f"_edge_{c}").eqNullSafe(F.col(c)) for c in by]
-        edges = df.groupBy(*by).agg(cuts)
-        renamed = edges.select(*[F.col(c).alias(f"_edge_{c}") for c in by], "_cuts")
-        cut = df.join(renamed, same).drop(*[f"_edge_{c}" for c in by])
-    else:
-        cut = df.crossJoin(F.broadcast(df.agg(cuts)))
-    place = F.size(F.filter("_cuts", lambda edge: edge < F.col(key)))
-    return cut.withColumn("_range", place).drop("_cuts")
+    sample = df.orderBy(F.xxhash64(*df.columns), key).limit(ranges * ROWS_PER_CUT)
+    ordered = sample.agg(F.sort_array(F.collect_list(key)).alias("_keys"))
+    places = F.sequence(F.lit(1), F.lit(ranges - 1))
+    cuts = F.array_distinct(
+        F.transform(
+            places, lambda i: F.get("_keys", F.floor(i * F.size("_keys") / ranges).cast("int"))
+        )
+    )
+    edges = ordered.select(cuts.alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda edge: edge < F.col(key)))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_range", below).drop("_cuts")
 
 
 def running_totals(
@@ -41,24 +44,26 @@ def running_totals(
     ties: list[str] | None = None,
     descending: bool = False,
     ranges: int = 200,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of `sums` ({input column: output column}) in the order of `key`.
 
-    Rows are cut into ranges of about equal row numbers by approximate quantiles of the
-    numeric `key`. Each range is summed in its own task and moved by the total of the
-    ranges before it; only those totals (at most `ranges` rows per group of `by`) meet in
-    one place. The quantiles decide nothing but the split of the work. Callers aggregate to
-    one row per key value first, so a frequent value is a single row here; rows with equal
-    keys are put in order by `ties`.
+    Rows are cut into ranges of the numeric `key` (see `with_ranges`). Each range of each
+    group is summed in its own task and moved by the total of the ranges before it; only
+    those totals (at most `ranges` rows per group of `by`) meet in one place. Callers
+    aggregate to one row per key value first, so a frequent value is a single row here; rows with equal
+    keys are put in order by `ties`. `totals` adds sums over all rows of the group.
     """
     by = by or []
-    ranged = with_ranges(df, key, by, ranges)
+    ranged = with_ranges(df, key, ranges)
 
     def ordered(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    before = Window.partitionBy(*by).orderBy(ordered("_range")).rowsBetween(
-        Window.unboundedPreceding, -1
+    before = (
+        Window.partitionBy(*by)
+        .orderBy(ordered("_range"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         ranged.groupBy(*by, "_range")
@@ -80,7 +85,13 @@ def running_totals(
     on = [F.col("_range") == F.col("_off_range")]
     on += [F.col(c).eqNullSafe(F.col(f"_off_{c}")) for c in by]
     local = ranged.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums})
-    return local.join(offsets, on).select(
+    result = local.join(offsets, on).select(
         *df.columns,
         *[(F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(out) for c, out in sums.items()],
     )
+    if not totals:
+        return result
+    whole = [F.sum(c).alias(out) for c, out in totals.items()]
+    if not by:
+        return result.crossJoin(F.broadcast(df.agg(*whole)))  # one row
+    return result.join(df.groupBy(*by).agg(*whole), by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def sink_user_csv(spark, folder):
 
 def sink_user_table(spark, folder):
     """Saved as a table in the shared folder and read back."""
-    name = f"users_{abs(hash(folder)) % 10**8}"
+    name = "users_" + re.sub(r"\W", "_", folder)
     path = shared_dir(spark, "users-table")
     return common.shown(user_files.save_user_table(common.users(spark, folder), name, path))
 

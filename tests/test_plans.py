@@ -77,3 +77,12 @@ def test_python_runs_in_tree_explanations_only(spark, folder):
 def test_event_day_counts(spark, folder, stored_log):
     days = stored_log.groupBy("event_date").agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in days) == common.log(spark, folder).count()
+
+
+def test_a_model_scores_each_row_once(spark, folder):
+    """All parts of the metrics read one shuffle of the scores."""
+    for metric in (curves.roc_points, curves.evaluate_model, curves.average_precision):
+        frame = metric(common.scored(spark, folder))
+        frame.collect()
+        text = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert text.count("FileScan parquet") == 1, metric.__name__
