@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.functions.skew import heavy_keys, needs_salting, salted_join
-from ebbtide.operators.engagement import engagement_span
+from ebbtide.functions.skew import salted_join
+from ebbtide.operators.engagement import engagement_span, heavy_users
 from ebbtide.schema import COUNTERS, TRACKED_EVENTS, USER, ChurnRules
 
 
@@ -27,13 +27,6 @@ def within_first_day(
     return salted_join(events, spans, USER, heavy, ["event_timestamp"], condition=in_time)
 
 
-def heavy_users(events: DataFrame) -> DataFrame | None:
-    """Heavy users of a log that is too large for one task; None for a small log."""
-    if not needs_salting(events):
-        return None
-    return heavy_keys(events.select(USER, "event_timestamp"), USER, ["event_timestamp"])
-
-
 def first_day_events(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
     """All event columns of the first day of every user with an engagement."""
     spans = engagement_span(events, rules).select(USER, "first_us")

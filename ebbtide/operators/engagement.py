@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.skew import heavy_keys, needs_salting, salted_join
 from ebbtide.schema import USER, ChurnRules
 
 DEVICE_COLUMNS = ("country_name", "device_os", "device_lang")
@@ -49,18 +50,33 @@ def engagement_bounds(events: DataFrame, rules: ChurnRules = ChurnRules()) -> Da
     )
 
 
+def heavy_users(events: DataFrame) -> DataFrame | None:
+    """Heavy users of a log that is too large for one task; None for a small log."""
+    if not needs_salting(events):
+        return None
+    return heavy_keys(events.select(USER, "event_timestamp"), USER, ["event_timestamp"])
+
+
 def engagement_bounds_window(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
     """First and last engagement attached to each engagement event (rows are kept).
 
     Equal to a window over the user's partition, but the bounds come from an aggregate, so
-    that a user with very many events is never sorted or buffered in one task.
+    that a user with very many events is never sorted or buffered in one task. Rows without
+    a user id form one group; its single span is broadcast to them.
     """
     rows = engagement_events(events, rules).select("event_id", USER, "event_timestamp")
-    span = engagement_span(events, rules).withColumnRenamed(USER, "_user")
-    same_user = F.col(USER).eqNullSafe(F.col("_user"))
-    return rows.join(span, same_user).select(
-        "event_id", USER, "event_timestamp", "first_us", "last_us"
-    )
+    span = engagement_span(events, rules)
+    known, unknown = F.col(USER).isNotNull(), F.col(USER).isNull()
+    heavy = heavy_users(events)
+    facts, dims = rows.where(known), span.where(known)
+    if heavy is None:
+        joined = facts.join(dims, USER)
+    else:
+        joined = salted_join(facts, dims, USER, heavy, ["event_id"])
+    nobody = F.broadcast(span.where(unknown).drop(USER))  # one row
+    columns = ["event_id", USER, "event_timestamp", "first_us", "last_us"]
+    anonymous = rows.where(unknown).crossJoin(nobody)
+    return joined.select(*columns).unionByName(anonymous.select(*columns))
 
 
 def flag_columns(rules: ChurnRules = ChurnRules()) -> dict[str, F.Column]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.activity import counter_columns, heavy_users, within_first_day
+from ebbtide.operators.activity import counter_columns, within_first_day
 from ebbtide.operators.engagement import (
     DEVICE_COLUMNS,
     engagement_profile,
     flag_columns,
+    heavy_users,
     log_end,
 )
 from ebbtide.schema import COUNTERS, TRACKED_EVENTS, USER, USER_SCHEMA, ChurnRules

@@ -351,7 +351,36 @@ _FEATURE_PARTS = [
     ],
 ]
 
+_WIDTHS = " + ".join(f"count(DISTINCT {c})" for c in CATEGORIES)
+# the kept categories of each column, and 'other' if there are others
+_COMMON_WIDTH = " + ".join(
+    f"""(SELECT count(*) + CASE WHEN count(*) < (SELECT count(DISTINCT {c}) FROM train)
+    THEN 1 ELSE 0 END FROM kept WHERE "column" = '{c}')"""
+    for c in CATEGORIES
+)
+
 ORACLE = {
+    "column_transformer": q(
+        # missing values count as the most frequent one before the shares are taken
+        _common("value").replace(
+            "FROM train\n        WHERE",
+            "FROM filled\n        WHERE",
+        ).replace(
+            "freq AS (",
+            "filled AS (SELECT "
+            + ", ".join(f"coalesce({c}, {_mode(c, 'train')}) AS {c}" for c in CATEGORIES)
+            + " FROM train), freq AS (",
+        ),
+        f"""SELECT 'numeric' AS "case", CAST({len(COUNTERS)} AS INTEGER) AS width, count(*) AS users FROM train
+        UNION ALL SELECT 'categorical', CAST({_WIDTHS} AS INTEGER), count(*) FROM train
+        UNION ALL SELECT 'both', CAST({len(COUNTERS)} + {_WIDTHS} AS INTEGER), count(*) FROM train
+        UNION ALL SELECT 'both_common', CAST({len(COUNTERS)} + {_COMMON_WIDTH} AS INTEGER), count(*) FROM train""",
+    ),
+    "transform_all_but_ids": q(
+        TRAIN,
+        f"""SELECT user_pseudo_id, CAST({len(COUNTERS)} + 2 +
+        (SELECT {_WIDTHS} FROM train) AS INTEGER) AS width FROM train""",
+    ),
     "drop_ignored": q(TRAIN, f"SELECT * EXCLUDE ({', '.join(IGNORED)}) FROM train"),
     "hash_split": q(
         TRAIN,

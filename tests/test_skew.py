@@ -5,7 +5,7 @@ from events import HOUR, MINUTE, log
 from pyspark.sql import functions as F
 
 from ebbtide.functions import skew
-from ebbtide.operators import activity
+from ebbtide.operators import activity, engagement
 from ebbtide.plans.user_dataset import user_dataset
 from ebbtide.schema import USER
 
@@ -62,12 +62,15 @@ def test_hot_rows_are_spread(spark, events):
 
 def test_user_dataset_is_the_same_with_salting(monkeypatch, events):
     plain = sorted(user_dataset(events).collect(), key=str)
+    unsalted = sorted(engagement.engagement_bounds_window(events).collect(), key=str)
     monkeypatch.setattr(skew, "SMALL_INPUT_BYTES", 0)
     monkeypatch.setattr(
-        activity,
+        engagement,
         "heavy_keys",
         lambda df, key, by: skew.heavy_keys(df, key, by, share=0.2, one_in=1, min_sampled=1),
     )
-    assert activity.heavy_users(events) is not None
+    assert engagement.heavy_users(events) is not None
+    assert sorted(engagement.engagement_bounds_window(events).collect(), key=str) == unsalted
+    assert sum(r[1] is None for r in unsalted) == 2
     assert sorted(user_dataset(events).collect(), key=str) == plain
     assert activity.behavior_counts(events).count() == 31  # users of odd numbers never engage
