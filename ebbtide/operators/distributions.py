@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.frequencies import name_at, unfold, value_frequencies
+from ebbtide.operators.frequencies import exact_quantiles, name_at, unfold, value_frequencies
 from ebbtide.schema import COUNTERS, FIRST_SEEN, LABEL
 
+QUARTILES = (0.25, 0.5, 0.75)
+
 
 def mean_var(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and sample variance of several columns in one pass."""
@@ -69,15 +71,13 @@ def boxplot_stats(
 ) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outliers of each column per label.
 
-    Works on the frequency table of the counters, which is small however many users there
-    are. For continuous columns use `exact=False`.
+    Works on the frequency table of the columns. `exact=False` saves the running counts.
     """
     freq = value_frequencies(df, columns, [label], "double").where(F.col("value").isNotNull())
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     if exact:
-        q = F.percentile("value", quartiles, F.col("cnt"))
-        boxes = freq.groupBy(label, "column").agg(q.alias("_q"))
+        boxes = exact_quantiles(freq, [label, "column"], QUARTILES, "_q")
     else:
+        quartiles = F.array(*[F.lit(q) for q in QUARTILES])
         q = F.percentile_approx("value", quartiles, F.lit(10000))
         boxes = (
             unfold(df, columns, [label], "double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.running import running_totals
 from ebbtide.schema import LABEL
 
 
@@ -109,6 +110,29 @@ def value_frequencies(
     )
 
 
+def exact_quantiles(
+    freq: DataFrame, by: list[str], points: tuple[float, ...], name: str = "quantiles"
+) -> DataFrame:
+    """Quantiles per group of a frequency table (by..., value, cnt), linear between values.
+
+    The value at a rank is the smallest one whose running count exceeds the rank, so the
+    groups end in plain minima: no task holds all values of a group.
+    """
+    running = running_totals(
+        freq, "value", {"cnt": "_upto"}, by=by, ties=["value"], totals={"cnt": "_n"}
+    )
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("value")))
+
+    parts = []
+    for q in points:
+        rank = (F.col("_n") - 1) * F.lit(q)
+        low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
+        parts.append(low + F.max(rank - F.floor(rank)) * (high - low))
+    return running.groupBy(*by).agg(F.array(*parts).alias(name))
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Distinct values of each column as they are and in lower case."""
     if approximate:

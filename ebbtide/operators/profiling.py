@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.operators.distributions import pairwise_correlations
-from ebbtide.operators.frequencies import name_at, unfold, value_frequencies
+from ebbtide.operators.frequencies import exact_quantiles, name_at, unfold, value_frequencies
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -69,14 +69,17 @@ def _number_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _quantile_stats(df: DataFrame, columns: list[str], exact: bool) -> DataFrame:
-    points = F.array(*[F.lit(q) for q in QUANTILES])
     if exact:
         freq = value_frequencies(df, columns, kind="double").where(F.col("value").isNotNull())
-        quantile = F.percentile("value", points, F.col("cnt"))
+        quantiles = exact_quantiles(freq, ["column"], QUANTILES, "q")
     else:
-        freq = unfold(df, columns, kind="double").withColumn("column", name_at(columns))
-        quantile = F.percentile_approx("value", points, F.lit(10000))
-    quantiles = freq.groupBy("column").agg(quantile.alias("q"))
+        points = F.array(*[F.lit(q) for q in QUANTILES])
+        quantiles = (
+            unfold(df, columns, kind="double")
+            .groupBy("position")
+            .agg(F.percentile_approx("value", points, F.lit(10000)).alias("q"))
+            .withColumn("column", name_at(columns))
+        )
     cells = [
         _cell(F.col("column"), f"q{int(q * 100):02d}", F.col("q")[i])
         for i, q in enumerate(QUANTILES)
@@ -90,17 +93,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return distinct.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def profile_table(df: DataFrame, exact_quantiles: bool = True) -> DataFrame:
+def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """Counts, distinct and most frequent values, moments, quantiles, duplicates, correlations.
 
-    All counts come from one frequency table of (column, value). Exact quantiles suit
-    counters with few distinct values; use `exact_quantiles=False` for continuous columns.
+    All counts come from one frequency table of (column, value).
     """
     numeric = _numeric_columns(df)
     parts = [_count_stats(value_frequencies(df, df.columns))]
     if numeric:
         parts.append(_number_stats(df, numeric))
-        parts.append(_quantile_stats(df, numeric, exact_quantiles))
+        parts.append(_quantile_stats(df, numeric, exact))
     parts.append(
         duplicate_rows(df).select(F.inline(F.array(_cell("*", "duplicates", F.col("duplicates")))))
     )

@@ -14,7 +14,7 @@ from ebbtide.operators import splitting, weighting
 from ebbtide.registry import common
 from ebbtide.registry.exploration import rounded, union_all
 from ebbtide.registry.oracle import TRAIN, USERS, bucket_sql, hash_sql, q
-from ebbtide.schema import CATEGORIES, COUNTERS, IGNORED, LABEL, USER, ColumnRoles
+from ebbtide.schema import CATEGORIES, COUNTERS, IGNORED, LABEL, USER
 from ebbtide.session import shared_dir
 from ebbtide.sources import user_files
 
