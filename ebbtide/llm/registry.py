@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ebbtide.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ebbtide.llm.quality_classifier import op7_quality_classifier
+from ebbtide.llm.simhash import op9_simhash_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLE = {
