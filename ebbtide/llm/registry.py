@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from ebbtide.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ebbtide.llm.line_dedup import OP5_SQL, op5_line_dedup
+from ebbtide.llm.mixing import op4_source_mixing
+from ebbtide.llm.packing import op6_best_fit_packing
 from ebbtide.llm.quality_classifier import op7_quality_classifier
 from ebbtide.llm.simhash import op9_simhash_dedup
+from ebbtide.llm.tool_calls import OP10_SQL, op10_tool_calls
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op10_tool_calls": OP10_SQL,
 }
