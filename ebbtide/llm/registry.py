@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ebbtide.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from ebbtide.llm.line_dedup import OP5_SQL, op5_line_dedup
+from ebbtide.llm.metric_join import op3_metric_join
 from ebbtide.llm.mixing import op4_source_mixing
 from ebbtide.llm.packing import op6_best_fit_packing
 from ebbtide.llm.quality_classifier import op7_quality_classifier
@@ -12,6 +13,7 @@ from ebbtide.llm.tool_calls import OP10_SQL, op10_tool_calls
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_metric_join": op3_metric_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
