@@ -1,27 +1,57 @@
-"""The training-data pipeline: stages over `documents`, each one operator of ebbtide.llm."""
+"""The training-data pipeline over `documents`: each stage is one operator of ebbtide.llm.
+
+Every stage gets all that its predecessor kept, as Parquet read back from the shared folder, and
+returns the columns of `documents`; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import exact_dedup
+from ebbtide.llm import exact_dedup, mixing, packing, quality_classifier, simhash
 from ebbtide.llm.common import table
 from ebbtide.session import materialize
 
 
+def sample_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling takes; low quality and toxic ones go."""
+    return quality_classifier.keep_sampled(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id."""
     return exact_dedup.keep_first(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, those of smaller sources again, up to the limit of repeats."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality_classifier", sample_quality),
     ("exact_dedup", drop_exact_copies),
+    ("simhash_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack),
 ]
 
+#: The classifier, the fingerprints and the packing cannot be said in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages, from the documents on."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
