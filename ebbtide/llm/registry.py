@@ -9,6 +9,7 @@ from ebbtide.llm.mixing import op4_source_mixing
 from ebbtide.llm.packing import op6_best_fit_packing
 from ebbtide.llm.quality_classifier import op7_quality_classifier
 from ebbtide.llm.simhash import op9_simhash_dedup
+from ebbtide.llm.token_files import op8_token_files
 from ebbtide.llm.tool_calls import OP10_SQL, op10_tool_calls
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_token_files": op8_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_tool_calls": op10_tool_calls,
 }
