@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.common import hash_pair, table
 from ebbtide.llm.range_coder import BLOCK_IDS, LANES, crc32_joined, read_blocks, write_blocks
 from ebbtide.llm.tokens import public_path, shared_encoder
-from ebbtide.session import shared_dir
+from ebbtide.session import materialize, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -158,12 +158,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     starts = index.withColumn("inner", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(files, "file")
     names = [c.split()[0] for c in _PARTS.split(", ")]
-    parts = (
+    parts = materialize(
         blocks.select("file", "block", "payload")
         .mapInPandas(_decode, _PARTS)
         .join(starts.select("file", "block", (F.col("base") + F.col("inner")).alias("first")), ["file", "block"])
         .withColumn("start", F.col("first") + F.col("start"))
-        .select(*names)
+        .select(*names),
+        "token-parts",
     )
     whole = (F.col("part") == 0) & F.col("last")
     split = parts.where(~whole).groupBy("file", "row").applyInPandas(_joined, _PARTS)
