@@ -9,11 +9,13 @@ from ebbtide.llm.mixing import op4_source_mixing
 from ebbtide.llm.packing import op6_best_fit_packing
 from ebbtide.llm.quality_classifier import op7_quality_classifier
 from ebbtide.llm.simhash import op9_simhash_dedup
+from ebbtide.llm.suffix_dedup import op2_suffix_dedup
 from ebbtide.llm.token_files import op8_token_files
 from ebbtide.llm.tool_calls import OP10_SQL, op10_tool_calls
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_metric_join": op3_metric_join,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
