@@ -12,7 +12,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 16g pyspark-shell")
+os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 8g pyspark-shell")
 
 from ebbtide.registry import QUERIES
 from ebbtide.registry import common
@@ -61,7 +61,7 @@ def main() -> None:
     learn, test = common.halves(spark, folder)
     for recipe in ("logreg_full", "forest_full"):
         seconds[f"fit_{recipe}"] = timed(lambda r=recipe: common.model(spark, folder, r))
-    seconds["fit_boosting_20_trees"] = timed(lambda: common.small_boost(spark, folder))
+    seconds["fit_boosting_full"] = timed(lambda: common.boosted(spark, folder))
     for name in ("predict_proba", "shap_values"):
         def run(query=QUERIES[name]):
             query(spark, folder).write.format("noop").mode("overwrite").save()

@@ -41,8 +41,14 @@ class ModeImputer(ColumnEstimator):
 
     def _fit(self, df: DataFrame) -> "ModeImputerModel":
         columns = [c for c, _ in self.pairs()]
-        row = df.agg(*[F.mode(c, True).alias(c) for c in columns]).first()
-        return self._copy_columns_to(ModeImputerModel(modes=[row[c] for c in columns]))
+        # counts per value are shuffled by value; one task sees a winner per task, not all values
+        best = F.min(F.struct((-F.col("count")).alias("n"), F.col("value"))).alias("best")
+        modes = []
+        for c in columns:
+            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).count()
+            found = counts.agg(best).first()["best"]
+            modes.append(found["value"] if found else None)
+        return self._copy_columns_to(ModeImputerModel(modes=modes))
 
 
 class ModeImputerModel(ColumnModel):

@@ -115,7 +115,7 @@ class QuantileScaler(ColumnEstimator):
         steps = []
         for c in columns:
             spans: dict[float, list[float]] = {}
-            for i, value in enumerate(row[c]):
+            for i, value in enumerate(row[c] or []):  # no landmarks without values
                 spans.setdefault(float(value), []).append(i / (n - 1))
             steps.append([[v, q[0], q[-1]] for v, q in spans.items()])
         model = QuantileScalerModel(steps=steps, output=self.getOrDefault(self.output))
@@ -136,7 +136,11 @@ class QuantileScalerModel(ColumnModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         result = df
         for i, (column, out) in enumerate(self.pairs()):
-            result = self._map(result, column, out, self.getOrDefault(self.steps)[i])
+            steps = self.getOrDefault(self.steps)[i]
+            if steps:
+                result = self._map(result, column, out, steps)
+            else:
+                result = result.withColumn(out, F.lit(None).cast("double"))
         return result
 
     def _map(self, df: DataFrame, column: str, out: str, steps: list) -> DataFrame:

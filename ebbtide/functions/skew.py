@@ -1,6 +1,7 @@
-"""Heavy keys: find them on a sample, spread them in a join.
+"""Heavy keys: count them, spread them in a join.
 
-The sample only decides which keys are salted. Results do not depend on it.
+A key is heavy when it has more rows than one task should read. Counts are exact and combined
+before their shuffle, and the same plan runs at every size: a small input just has no heavy key.
 """
 
 from __future__ import annotations
@@ -8,35 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.session import input_bytes
+ROWS_PER_TASK = 1_000_000
+# The limit grows with the input, so that a table of heavy keys never has more rows than this.
+MOST_HEAVY = 100_000
 
-# Below this size one task could read the whole input, so no key can hurt.
-SMALL_INPUT_BYTES = 1 << 30
 
-
-def heavy_keys(
-    df: DataFrame,
-    key: str,
-    spread_by: list[str],
-    share: float = 0.002,
-    one_in: int = 64,
-    min_sampled: int = 1000,
-) -> DataFrame:
-    """Keys that hold at least `share` of the sampled rows; never more than 1/share rows.
-
-    Rows are sampled by a hash of key and `spread_by`, so that a recomputed task sees the
-    same sample. Counting is map-side combined.
-    """
-    picked = F.pmod(F.xxhash64(key, *spread_by), F.lit(one_in)) == 0 if one_in > 1 else F.lit(True)
-    counts = (
-        df.where(F.col(key).isNotNull() & picked).groupBy(key).agg(F.count("*").alias("_rows"))
-    )
+def heavy_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key, _fanout): keys with more rows than a task should read, and over how many tasks to
+    spread them. At most MOST_HEAVY rows, so that it may be broadcast."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("_total"))
+    limit = F.greatest(F.lit(rows_per_task), F.ceil(F.col("_total") / MOST_HEAVY))
     return (
-        counts.where(F.col("_rows") >= min_sampled)
-        .crossJoin(F.broadcast(total))
-        .where(F.col("_rows") >= F.col("_total") * share)
-        .select(key)
+        counts.crossJoin(F.broadcast(total))  # one row
+        .where(F.col("_rows") > limit)
+        .select(key, F.ceil(F.col("_rows") / limit).cast("int").alias("_fanout"))
     )
 
 
@@ -46,33 +33,23 @@ def salted_join(
     key: str,
     heavy: DataFrame,
     spread_by: list[str],
-    fanout: int = 512,
     condition: Column | None = None,
 ) -> DataFrame:
-    """Inner join in which the rows of heavy keys are spread over `fanout` partitions.
+    """Inner join in which the rows of a heavy key are spread over `_fanout` partitions.
 
     `dims` has one row per key; only its heavy rows are repeated. `heavy` is bounded by
     construction (see `heavy_keys`), so that it may be broadcast.
     """
-    marked = F.broadcast(heavy.select(key, F.lit(True).alias("_heavy")))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(fanout)).cast("int")
+    marked = F.broadcast(heavy)
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_fanout")).cast("int")
     left = (
         facts.join(marked, key, "left")
-        .withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(F.lit(0)))
-        .drop("_heavy")
+        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
+        .drop("_fanout")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(fanout - 1))
+    every_salt = F.sequence(F.lit(0), F.coalesce("_fanout", F.lit(1)) - 1)
     right = (
-        dims.join(marked, key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_heavy"), every_salt).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_heavy")
+        dims.join(marked, key, "left").withColumn("_salt", F.explode(every_salt)).drop("_fanout")
     )
     joined = left.join(right, [key, "_salt"])
     return (joined if condition is None else joined.where(condition)).drop("_salt")
-
-
-def needs_salting(df: DataFrame) -> bool:
-    return input_bytes(df) >= SMALL_INPUT_BYTES

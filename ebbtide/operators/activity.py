@@ -13,24 +13,22 @@ from ebbtide.schema import COUNTERS, TRACKED_EVENTS, USER, ChurnRules
 def within_first_day(
     events: DataFrame,
     spans: DataFrame,
+    heavy: DataFrame,
     rules: ChurnRules = ChurnRules(),
-    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Events joined with their user's span, up to and including the end of the first day.
 
     There is no lower bound: events before the first engagement belong to the first day.
-    With `heavy` (see `heavy_keys`) the rows of those users are spread over many tasks.
+    The rows of `heavy` users (see `heavy_keys`) are spread over many tasks by event id.
     """
     in_time = F.col("event_timestamp") <= F.col("first_us") + rules.churn_micros
-    if heavy is None:
-        return events.join(spans, USER).where(in_time)
-    return salted_join(events, spans, USER, heavy, ["event_timestamp"], condition=in_time)
+    return salted_join(events, spans, USER, heavy, ["event_id"], condition=in_time)
 
 
 def first_day_events(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
     """All event columns of the first day of every user with an engagement."""
     spans = engagement_span(events, rules).select(USER, "first_us")
-    joined = within_first_day(events, spans, rules, heavy_users(events))
+    joined = within_first_day(events, spans, heavy_users(events), rules)
     return joined.select(*events.columns)
 
 
@@ -46,6 +44,6 @@ def counter_columns() -> list[F.Column]:
 def behavior_counts(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
     """The eleven first-day counters per user; names that never occur count 0."""
     spans = engagement_span(events, rules).select(USER, "first_us")
-    narrow = events.select(USER, "event_timestamp", "event_name")
-    joined = within_first_day(narrow, spans, rules, heavy_users(events))
+    narrow = events.select(USER, "event_id", "event_timestamp", "event_name")
+    joined = within_first_day(narrow, spans, heavy_users(events), rules)
     return joined.groupBy(USER).agg(*counter_columns())

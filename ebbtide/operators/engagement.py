@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.skew import heavy_keys, needs_salting, salted_join
+from ebbtide.functions.skew import heavy_keys, salted_join
 from ebbtide.schema import USER, ChurnRules
 
 DEVICE_COLUMNS = ("country_name", "device_os", "device_lang")
@@ -50,11 +50,9 @@ def engagement_bounds(events: DataFrame, rules: ChurnRules = ChurnRules()) -> Da
     )
 
 
-def heavy_users(events: DataFrame) -> DataFrame | None:
-    """Heavy users of a log that is too large for one task; None for a small log."""
-    if not needs_salting(events):
-        return None
-    return heavy_keys(events.select(USER, "event_timestamp"), USER, ["event_timestamp"])
+def heavy_users(events: DataFrame) -> DataFrame:
+    """Users with more events than one task should read (reads one column)."""
+    return heavy_keys(events.select(USER), USER)
 
 
 def engagement_bounds_window(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
@@ -67,12 +65,8 @@ def engagement_bounds_window(events: DataFrame, rules: ChurnRules = ChurnRules()
     rows = engagement_events(events, rules).select("event_id", USER, "event_timestamp")
     span = engagement_span(events, rules)
     known, unknown = F.col(USER).isNotNull(), F.col(USER).isNull()
-    heavy = heavy_users(events)
     facts, dims = rows.where(known), span.where(known)
-    if heavy is None:
-        joined = facts.join(dims, USER)
-    else:
-        joined = salted_join(facts, dims, USER, heavy, ["event_id"])
+    joined = salted_join(facts, dims, USER, heavy_users(events), ["event_id"])
     nobody = F.broadcast(span.where(unknown).drop(USER))  # one row
     columns = ["event_id", USER, "event_timestamp", "first_us", "last_us"]
     anonymous = rows.where(unknown).crossJoin(nobody)
@@ -125,6 +119,9 @@ def latest_device(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFr
 def engagement_profile(events: DataFrame, rules: ChurnRules = ChurnRules()) -> DataFrame:
     """Bounds and latest device in one pass and one shuffle of the engagement events.
 
+    The greatest (time, id) with its device is a struct, which Spark aggregates by sorting: each
+    task sorts its engagement events by user once before the shuffle.
+
     A NULL user id gets no device: it is equal to no other id, so a join would find none.
     """
     newest = F.max_by(

@@ -14,6 +14,11 @@ def hash_split(df: DataFrame, key: str = USER, buckets: int = 10, held_out: int
     return df.where(bucket(key, buckets) != held_out)
 
 
+def hash_held_out(df: DataFrame, key: str = USER, buckets: int = 10, held_out: int = 9) -> DataFrame:
+    """The rows that `hash_split` leaves out."""
+    return df.where(bucket(key, buckets) == held_out)
+
+
 def kfold_assign(
     df: DataFrame, folds: int = 10, key: str = USER, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
@@ -30,7 +35,7 @@ def stratified_split(
     cells: int = 4096,
 ) -> DataFrame:
     """Add `split` ('train' / 'test') with exactly ceil(share * rows) test rows, spread over
-    the labels in proportion.
+    the labels in proportion; a missing label counts as a label of its own.
 
     Rows are drawn in the order of a seeded hash. The hash range is cut into `cells`; counts
     per label and cell tell in which cell the quota of a label is reached. Cells below go to
@@ -45,7 +50,7 @@ def stratified_split(
     upto = Window.partitionBy(label).orderBy("_cell")
     border = (
         per_cell.withColumn("_upto", F.sum("_n").over(upto))
-        .join(quota, label)
+        .join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("_of")))
         .where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
         .select(
             F.col(label).alias("_label"),
@@ -53,7 +58,7 @@ def stratified_split(
             (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_take"),
         )
     )
-    marked = hashed.join(F.broadcast(border), F.col(label) == F.col("_label"), "left")
+    marked = hashed.join(F.broadcast(border), F.col(label).eqNullSafe(F.col("_label")), "left")
     ranked_part = marked.where(F.col("_cell") == F.col("_border"))
     other_part = marked.where(
         F.col("_border").isNull() | (F.col("_cell") != F.col("_border"))
@@ -82,6 +87,6 @@ def _quotas(counts: DataFrame, label: str, test_share: float) -> DataFrame:
     by_rest = whole.orderBy((F.col("_share") - F.col("_floor")).desc(), F.col(label))
     extra = F.col("_wanted") - F.sum("_floor").over(whole)
     return shares.select(
-        label,
+        F.col(label).alias("_of"),
         (F.col("_floor") + (F.row_number().over(by_rest) <= extra).cast("long")).alias("_quota"),
     )

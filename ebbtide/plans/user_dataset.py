@@ -11,7 +11,6 @@ from ebbtide.operators.engagement import (
     engagement_profile,
     flag_columns,
     heavy_users,
-    log_end,
 )
 from ebbtide.schema import COUNTERS, TRACKED_EVENTS, USER, USER_SCHEMA, ChurnRules
 
@@ -21,29 +20,29 @@ def user_dataset(
 ) -> DataFrame:
     """Nineteen columns per user.
 
-    Plan: one pass over the engagement events gives bounds and device per user; a second,
-    three-column pass over the tracked events is joined with it on the user and counted
-    there. Grouping by all profile columns keeps the partitioning of the join, so the
-    counters need no join back and no further shuffle. `end` may give the end of the log
+    Plan, the same at every size, in four scans: the engagement events give bounds and device per
+    user; two narrow scans that are summed up at once give the end of the log and the events per
+    user; the tracked events are joined with the bounds, heavy users spread, and counted per user
+    and task before the counts are shuffled. `end` may give the end of the log
     (one row, `log_end_us`) when the caller knows it.
     """
     profile = engagement_profile(events, rules)
     carried = [USER, "first_us", "last_us", *DEVICE_COLUMNS]
     tracked = events.where(F.col("event_name").isin(*TRACKED_EVENTS)).select(
-        USER, "event_timestamp", "event_name"
+        USER, "event_id", "event_timestamp", "event_name"
     )
     counted = (
-        within_first_day(tracked, profile.where(F.col(USER).isNotNull()), rules, heavy_users(events))
+        within_first_day(tracked, profile.where(F.col(USER).isNotNull()), heavy_users(events), rules)
         .groupBy(*carried)
         .agg(*counter_columns())
     )
     # Each user with an id owns at least the engagement event that made them a user, so the
     # inner join loses none. Rows without an id form one user without device and counters.
-    anonymous = engagement_profile(events.where(F.col(USER).isNull()), rules).select(
+    anonymous = profile.where(F.col(USER).isNull()).select(
         *carried, *[F.lit(None).cast("long").alias(c) for c in COUNTERS]
     )
     users = counted.unionByName(anonymous).crossJoin(
-        F.broadcast(log_end(events, rules) if end is None else end)
+        F.broadcast(profile.agg(F.max("last_us").alias("log_end_us")) if end is None else end)
     )
     flags = flag_columns(rules)
     return users.withColumns(flags).select(

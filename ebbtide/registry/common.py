@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.timing import wall_clock
 from ebbtide.models.recipes import RECIPES, fit_recipe
-from ebbtide.operators.splitting import stratified_split
+from ebbtide.operators.splitting import hash_held_out, hash_split, stratified_split
 from ebbtide.plans.user_dataset import trainable, undecided, user_dataset
 from ebbtide.schema import EVENT_SCHEMA, FIRST_SEEN, USER_SCHEMA
 from ebbtide.session import pin_utc, shared_dir
@@ -23,10 +23,6 @@ from ebbtide.sources.star_tables import event_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Trees per boosted model in the queries that only look at a model; the recipes' default
-# stays in the `model_*` queries.
-SMALL_BOOST = 20
-
 _paths: dict[tuple, str] = {}
 _models: dict[tuple, PipelineModel] = {}
 
@@ -81,6 +77,15 @@ def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def parts(spark: SparkSession, folder: str, recipe: str) -> tuple[DataFrame, DataFrame]:
+    """The rows a recipe learns from and those held out: the recipes of the SQL family split by
+    hash bucket, all others by label."""
+    if recipe.endswith("_sql"):
+        known = train(spark, folder)
+        return hash_split(known), hash_held_out(known)
+    return halves(spark, folder)
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """A formula as score and a hard label from it: metrics that another engine can check."""
     activity = F.col("cnt_user_engagement") + F.col("cnt_post_score")
@@ -94,16 +99,16 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model(spark: SparkSession, folder: str, name: str, **params) -> PipelineModel:
-    """A recipe fitted on the 90 % part."""
+    """A recipe fitted once on its 90 % part; every query on it shares the fit."""
     key = (spark.sparkContext.applicationId, folder, name, tuple(sorted(params.items())))
     if key not in _models:
-        learn, _ = halves(spark, folder)
+        learn, _ = parts(spark, folder, name)
         _models[key] = fit_recipe(RECIPES[name].with_params(**params), learn)
     return _models[key]
 
 
-def small_boost(spark: SparkSession, folder: str) -> PipelineModel:
-    return model(spark, folder, "weighted_boosting_full", maxIter=SMALL_BOOST)
+def boosted(spark: SparkSession, folder: str) -> PipelineModel:
+    return model(spark, folder, "weighted_boosting_full")
 
 
 def shown(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ebbtide.schema import CATEGORIES, COUNTERS, LABEL, USER, USER_SCHEMA
 
 # the six counters drawn as box plots: the first four and the last two
 BOXED = [*COUNTERS[:4], *COUNTERS[-2:]]
-PROFILED = ["is_enable", "bounced", *CATEGORIES, *COUNTERS, LABEL]
+PROFILED = ["user_pseudo_id", "is_enable", "bounced", *CATEGORIES, *COUNTERS, LABEL]
 
 
 def rounded(df, *columns, digits=6):
@@ -137,7 +137,7 @@ def long_sql(source: str, columns, label: str = "") -> str:
 _TOP10 = """(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}
   ORDER BY count(*) DESC, {c} LIMIT 10)"""
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in USER_SCHEMA.fieldNames())
-_NUMERIC = [c for c in PROFILED if c not in CATEGORIES]
+_NUMERIC = [c for c in PROFILED if c not in (USER, *CATEGORIES)]
 _PAIR_BINS = ", ".join(
     f"""CAST(CASE WHEN hi_{c} = lo_{c} THEN least(floor(({c} - lo_{c} + 0.5::DOUBLE) / 0.1::DOUBLE), 9)
     ELSE least(floor(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 10)), 9) END AS INTEGER) AS {c}"""

@@ -105,7 +105,7 @@ _ROC_CORNERS = _ROC.format(
     t="round(score, 6)",
     f="round(fp / n, 6)",
     r="round(tp / p, 6)",
-    where="WHERE next_pos IS NULL OR next_pos <> pos OR next_neg <> neg",
+    where="WHERE next_pos IS NULL OR tp + fp = pos + neg OR next_pos <> pos OR next_neg <> neg",
 )
 _PR = """SELECT round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision,
   round(tp / p, 6) AS recall FROM curve WHERE tp - pos < p

@@ -21,15 +21,14 @@ def held_out(recipe: str):
     """Scores of a recipe on the 10 % part it has not seen."""
 
     def query(spark, folder):
-        _, test = common.halves(spark, folder)
+        _, test = common.parts(spark, folder, recipe)
         return scoring.predict_proba(common.model(spark, folder, recipe), test)
 
     return query
 
 
 def predict(spark, folder):
-    _, test = common.halves(spark, folder)
-    return scoring.predict(common.model(spark, folder, "logreg_full"), test)
+    return scoring.predict(common.model(spark, folder, "logreg_full"), common.train(spark, folder))
 
 
 def predict_proba(spark, folder):
@@ -40,13 +39,13 @@ def predict_proba(spark, folder):
 
 def predict_threshold(spark, folder):
     return scoring.predict_threshold(
-        common.model(spark, folder, "boosting_sql", maxIter=common.SMALL_BOOST),
+        common.model(spark, folder, "boosting_sql"),
         common.train(spark, folder),
     )
 
 
 def score_not_yet(spark, folder):
-    return scoring.predict_proba(common.small_boost(spark, folder), common.not_yet(spark, folder))
+    return scoring.predict_proba(common.boosted(spark, folder), common.not_yet(spark, folder))
 
 
 def save_load_model(spark, folder):
@@ -95,15 +94,15 @@ def refit_best(spark, folder):
 
 
 def observations_table(spark, folder):
-    return views.observations_table(common.small_boost(spark, folder), common.train(spark, folder))
+    return views.observations_table(common.boosted(spark, folder), common.train(spark, folder))
 
 
 def top_feature_importance(spark, folder):
-    return views.feature_importance(common.small_boost(spark, folder), common.train(spark, folder))
+    return views.feature_importance(common.boosted(spark, folder), common.train(spark, folder))
 
 
 def _shap(spark, folder):
-    model, users = common.small_boost(spark, folder), common.train(spark, folder)
+    model, users = common.boosted(spark, folder), common.train(spark, folder)
     return shapley.shap_long(shapley.tree_shap(model, users), shapley.vector_names(model, users))
 
 
@@ -128,7 +127,7 @@ def shap_distribution(spark, folder):
 
 def shap_one_row(spark, folder):
     """The first user's score taken apart; only this user is explained."""
-    model, users = common.small_boost(spark, folder), common.train(spark, folder)
+    model, users = common.boosted(spark, folder), common.train(spark, folder)
     first = users.agg(F.min(USER).alias(USER))
     one = users.join(F.broadcast(first), USER, "left_semi")
     names = shapley.vector_names(model, users)
@@ -137,7 +136,7 @@ def shap_one_row(spark, folder):
 
 def score_stream(spark, folder):
     """All users arrive as files and are scored by a saved model until none is left."""
-    model = common.model(spark, folder, "boosting_full", maxIter=common.SMALL_BOOST)
+    model = common.model(spark, folder, "boosting_full")
     saved = storage.save_model(model, shared_dir(spark, "stream-model"))
     out = shared_dir(spark, "stream-out")
     arriving = arriving_users(spark, common.users_folder(spark, folder))

@@ -42,11 +42,10 @@ def scan_one_day(spark, folder):
 
 
 def union_loose_shards(spark, folder):
-    """Day shards with different columns, stacked by name."""
-    path = common.log_folder(spark, folder)
-    with_device = flat(read_event_day(spark, path, DAY))
-    bare = flat(read_event_day(spark, path, "2024-01-08")).drop("device_os", "device_lang")
-    return union_shards([with_device, bare])
+    """Day shards with different columns, stacked by name: those of odd days have no device."""
+    events = flat(read_event_log(spark, common.log_folder(spark, folder)))
+    odd = F.dayofmonth("event_date") % 2 == 1
+    return union_shards([events.where(~odd), events.where(odd).drop("device_os", "device_lang")])
 
 
 def nested_fields(spark, folder):
@@ -191,9 +190,9 @@ ORACLE = {
     "scan_one_day": q(EV, f"SELECT {FLAT_SQL} FROM ev WHERE event_date = DATE '{DAY}'"),
     "union_loose_shards": q(
         EV,
-        f"""SELECT {FLAT_SQL} FROM ev WHERE event_date = DATE '{DAY}'
+        f"""SELECT {FLAT_SQL} FROM ev WHERE day(event_date) % 2 = 0
         UNION ALL SELECT event_id, event_date, event_timestamp, user_pseudo_id, event_name,
-          country_name, NULL, NULL, 2 FROM ev WHERE event_date = DATE '2024-01-08'""",
+          country_name, NULL, NULL, 2 FROM ev WHERE day(event_date) % 2 = 1""",
     ),
     "nested_fields": q(EV, "SELECT event_id, country_name, device_os, device_lang FROM ev"),
     "filter_event": q(

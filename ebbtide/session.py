@@ -67,8 +67,3 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of all inputs a plan reads, from Catalyst's statistics; no job is run."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))

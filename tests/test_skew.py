@@ -20,24 +20,21 @@ def events(spark):
 
 
 def test_heavy_keys_finds_the_hot_user(events):
-    found = skew.heavy_keys(events, USER, ["event_timestamp"], share=0.2, one_in=1, min_sampled=1)
-    assert [r[USER] for r in found.collect()] == ["hot"]
+    found = skew.heavy_keys(events, USER, rows_per_task=100)
+    assert [(r[USER], r["_fanout"]) for r in found.collect()] == [("hot", 6)]
+    assert skew.heavy_keys(events, USER).count() == 0
 
 
-def test_heavy_keys_on_a_sample_is_stable(events):
-    def found():
-        return skew.heavy_keys(
-            events, USER, ["event_timestamp"], share=0.2, one_in=4, min_sampled=10
-        ).collect()
-
-    assert found() == found() and len(found()) == 1
+def test_heavy_keys_never_exceed_their_bound(monkeypatch, events):
+    monkeypatch.setattr(skew, "MOST_HEAVY", 10)
+    assert skew.heavy_keys(events, USER, rows_per_task=1).count() <= 10
 
 
 def test_salted_join_keeps_all_rows(spark, events):
     dims = events.where(F.col(USER).isNotNull()).groupBy(USER).agg(F.min("event_timestamp").alias("first_us"))
-    heavy = skew.heavy_keys(events, USER, ["event_timestamp"], share=0.2, one_in=1, min_sampled=1)
+    heavy = skew.heavy_keys(events, USER, rows_per_task=75)
     facts = events.select(USER, "event_id", "event_timestamp")
-    salted = skew.salted_join(facts, dims, USER, heavy, ["event_timestamp"], fanout=8)
+    salted = skew.salted_join(facts, dims, USER, heavy, ["event_id"])
     plain = facts.join(dims, USER)
     assert sorted(salted.select(*plain.columns).collect()) == sorted(plain.collect())
 
@@ -46,9 +43,9 @@ def test_hot_rows_are_spread(spark, events):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         dims = events.where(F.col(USER).isNotNull()).groupBy(USER).agg(F.min("event_timestamp").alias("first_us"))
-        heavy = skew.heavy_keys(events, USER, ["event_timestamp"], share=0.2, one_in=1, min_sampled=1)
+        heavy = skew.heavy_keys(events, USER, rows_per_task=20)
         salted = skew.salted_join(
-            events.select(USER, "event_timestamp"), dims, USER, heavy, ["event_timestamp"], fanout=64
+            events.select(USER, "event_id"), dims, USER, heavy, ["event_id"]
         )
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         parts = (
@@ -63,13 +60,8 @@ def test_hot_rows_are_spread(spark, events):
 def test_user_dataset_is_the_same_with_salting(monkeypatch, events):
     plain = sorted(user_dataset(events).collect(), key=str)
     unsalted = sorted(engagement.engagement_bounds_window(events).collect(), key=str)
-    monkeypatch.setattr(skew, "SMALL_INPUT_BYTES", 0)
-    monkeypatch.setattr(
-        engagement,
-        "heavy_keys",
-        lambda df, key, by: skew.heavy_keys(df, key, by, share=0.2, one_in=1, min_sampled=1),
-    )
-    assert engagement.heavy_users(events) is not None
+    monkeypatch.setattr(engagement, "heavy_keys", lambda df, key: skew.heavy_keys(df, key, 100))
+    assert engagement.heavy_users(events).count() == 1
     assert sorted(engagement.engagement_bounds_window(events).collect(), key=str) == unsalted
     assert sum(r[1] is None for r in unsalted) == 2
     assert sorted(user_dataset(events).collect(), key=str) == plain
