@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ebbtide.schema import FIRST_SEEN, USER_SCHEMA
 
-# ISO time with microseconds and zone, as in 2018-10-03 11:02:46.037001+00:00
+# ISO time with microseconds and zone
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"
 
 
@@ -22,8 +22,10 @@ def _text_time_schema() -> T.StructType:
 
 
 def read_user_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header and given types; the engagement time stays text."""
-    return spark.read.schema(_text_time_schema()).option("header", True).csv(path)
+    """Header and given types; the engagement time stays text. Columns in another order and cells
+    that don't fit their type are errors."""
+    strict = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+    return spark.read.schema(_text_time_schema()).options(**strict).csv(path)
 
 
 def read_user_csv_with_time(spark: SparkSession, path: str) -> DataFrame:

@@ -20,14 +20,24 @@ def test_csv_round_trip(spark, users, tmp_path):
     assert sorted(back.collect(), key=str) == sorted(users.collect(), key=str)
 
 
-def test_shipped_time_formats(spark, tmp_path):
+def test_time_formats(spark, tmp_path):
     header = ",".join(USER_SCHEMA.fieldNames())
-    row = "{},id,0,0,Chile,IOS,es-cl" + ",1" * 11 + ",1"
-    times = ["2018-10-03 11:02:46.037001+00:00", "2018-10-03 11:02:46+00:00", "2018-10-03 11:02:46"]
+    row = "{},id,0,0,Norway,IOS,nb-no" + ",1" * 11 + ",1"
+    times = ["2031-05-06 07:08:09.000123+00:00", "2031-05-06 07:08:09+00:00", "2031-05-06 07:08:09"]
     (tmp_path / "u.csv").write_text("\n".join([header, *[row.format(t) for t in times]]) + "\n")
     read = user_files.read_user_csv_with_time(spark, str(tmp_path))
     micros = [r[0] for r in read.select(F.unix_micros("user_first_engagement")).collect()]
-    assert sorted(micros) == [1538564566000000, 1538564566000000, 1538564566037001]
+    assert sorted(micros) == [1935817689000000, 1935817689000000, 1935817689000123]
+
+
+def test_csv_of_another_shape_is_an_error(spark, tmp_path):
+    names = USER_SCHEMA.fieldNames()
+    row = "2031-05-06 07:08:09,id,0,0,Norway,IOS,nb-no" + ",1" * 12
+    for number, (header, line) in enumerate([(names[::-1], row), (names, row.replace(",0,0,", ",x,0,"))]):
+        path = tmp_path / f"{number}.csv"
+        path.write_text(",".join(header) + "\n" + line + "\n")
+        with pytest.raises(Exception):
+            user_files.read_user_csv(spark, str(path)).collect()
 
 
 def test_parquet_and_table(spark, users, tmp_path):
