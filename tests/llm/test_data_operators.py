@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from rows import EDGE, edge_docs, no_docs, prose
 from tokenizers import Tokenizer
 
-from ebbtide.llm import metric_join, mixing, packing, quality_classifier, range_coder, token_files, tool_calls
+from ebbtide.llm import metric_join, mixing, packing, quality_classifier, range_coder, registry, token_files, tool_calls
 from ebbtide.llm.tokens import TextIds, public_path
 
 # --- embeddings
@@ -339,3 +339,40 @@ def test_long_chains_of_calls(spark):
     rows = [(1, f"c{i}", f"c{i - 1}" if i else None, 0, "t", "{}") for i in range(70)]
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string, seq long, name string, arguments string")
     assert {r.call_id: r.depth for r in tool_calls.depths(calls).collect()} == {f"c{i}": i for i in range(70)}
+
+
+# --- the registered queries over a whole table
+
+
+def test_vector_query_against_brute_force(spark, folder):
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = registry.QUERIES["op3_metric_join"](spark, folder).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == links_brute(rows)
+
+
+def test_token_queries_against_brute_force(spark, folder):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    words, letters = (Tokenizer.from_file(public_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    files, pieces, start = set(), [], 0
+    for doc, text in docs:
+        ids = np.array(words.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        files.add((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+        ids = np.array(letters.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for piece, length in enumerate(packing.cut_lengths(len(ids))):
+            pieces.append((doc, piece, at, length, zlib.crc32(ids[at : at + length].tobytes())))
+            at += length
+    got = registry.QUERIES["op8_token_files"](spark, folder).collect()
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got} == files
+    got = registry.QUERIES["op6_best_fit_packing"](spark, folder).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces
+    assert check_sequences(got) <= packing.lower_bound(np.array([p[3] for p in pieces])) + 1
+
+
+def test_mixing_and_sampling_queries(spark, folder):
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    times = Counter((r.doc_id, r.source) for r in registry.QUERIES["op4_source_mixing"](spark, folder).collect())
+    assert dict(times.keys()) == docs and set(times.values()) <= {1, 2}
+    kept = [r.doc_id for r in registry.QUERIES["op7_quality_classifier"](spark, folder).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(docs)

@@ -202,3 +202,27 @@ def test_near_groups_of_edge_rows(spark):
     kept = simhash.keep_one(edge_docs(spark))
     assert kept.count() == len(set(least)) and kept.columns == edge_docs(spark).columns
     assert simhash.near_groups(no_docs(spark)).count() == 0
+
+
+# --- the registered queries over a whole table
+
+
+def documents(spark, folder):
+    return [(r.doc_id, r.text, None) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+
+
+def test_suffix_query_against_brute_force(spark, folder):
+    rows = documents(spark, folder)
+    want = {(int(i), n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in repeats_brute(rows, 50)}
+    got = registry.QUERIES["op2_suffix_dedup"](spark, folder)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
+
+
+def test_simhash_query_against_brute_force(spark, folder):
+    prints = [(i, fingerprint_brute(t)) for i, t, _ in documents(spark, folder)]
+    group = roots([(a, b) for i, a in prints for j, b in prints if i <= j and (a ^ b).bit_count() <= 2])
+    least = {}
+    for i, f in sorted(prints):
+        least.setdefault(group[f], i)
+    got = registry.QUERIES["op9_simhash_dedup"](spark, folder).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{f:016x}", least[group[f]]) for i, f in prints}
