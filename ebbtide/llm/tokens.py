@@ -12,10 +12,11 @@ import os
 import re
 from array import array
 
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: White space other than blanks and line breaks, and runs that are not one character long.
+_ODD = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_PLAIN = re.compile(rf"([ \n]?)([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+_PLAIN = re.compile(rf"(\n?)([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,6 +36,48 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of pre-tokens, by the library's model."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, pre_token: str) -> bytes:
+        letters = pre_token.encode().decode("latin-1").translate(_LETTERS)
+        found = self[pre_token] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return found
+
+
+class _Pieces(dict):
+    """Ids of pieces that stand behind `blank`; forgets all when it has met `most`."""
+
+    def __init__(self, tokenizer, words: _Words, blank: str, lower: bool, most: int):
+        self.encode, self.words = tokenizer.encode, words
+        self.blank, self.lower, self.most = blank, lower, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+            self.words.clear()
+        plain = _PLAIN.fullmatch(piece)
+        if plain:
+            line, word, marks = plain.groups()
+            words = self.words
+            if self.lower:
+                found = words[word.lower()]
+            elif line:
+                found = words[line] + words[word]
+            else:
+                found = words[self.blank + word]
+            if marks:
+                found += words[marks]
+        else:
+            whole = piece if piece[:1] == "\n" else self.blank + piece
+            found = array("I", self.encode(whole, add_special_tokens=False).ids).tobytes()
+        self[piece] = found
+        return found
+
+
 class TextIds:
     """Encoder of one tokenizer file. `drops_blanks`: the tokenizer ignores white space, else it
     keeps a blank with the word behind it and a line break by itself."""
@@ -45,57 +88,27 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_blanks, self.most = drops_blanks, most
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.drops_blanks = drops_blanks
+        words = _Words(self.tokenizer.model)
+        self.first = _Pieces(self.tokenizer, words, "", drops_blanks, most // 4)
+        self.known = _Pieces(self.tokenizer, words, "" if drops_blanks else " ", drops_blanks, most)
 
     def _pieces(self, text: str) -> list[str]:
-        """Pieces whose ids, one after another, are the ids of the text."""
+        """Pieces whose ids, one after another, are the ids of the text; before each but the first
+        stood a blank, or a line break that the piece keeps."""
         if self.drops_blanks:
             return text.replace("\n", " ").split(" ")
-        if _ODD.search(text):
-            split = _SAFE_BLANK.split(text)
-            return split[:1] + [" " + p for p in split[1:]]
-        # "a b\nc" as "a", " b", "\nc"
-        split = text.replace("\n", " \n").split(" ")
-        return split[:1] + [p if p[:1] == "\n" else " " + p for p in split[1:]]
-
-    def _word(self, pre_token: str) -> bytes:
-        found = self.words.get(pre_token)
-        if found is None:
-            letters = pre_token.encode().decode("latin-1").translate(_LETTERS)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-            self.words[pre_token] = found
-        return found
-
-    def _learn(self, new: set[str]) -> None:
-        other = []
-        for piece in new:
-            plain = _PLAIN.fullmatch(piece)
-            if not plain:
-                other.append(piece)
-                continue
-            blank, word, marks = plain.groups()
-            if self.drops_blanks:
-                word = word.lower()
-            lead = self._word(blank) if blank == "\n" else b""
-            if blank == " ":
-                word = blank + word
-            self.known[piece] = lead + self._word(word) + self._word(marks)
-        for at in range(0, len(other), 8192):
-            some = other[at : at + 8192]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = array("I", found.ids).tobytes()
+        if text[:1].isspace() or text[-1:].isspace() or any(odd in text for odd in _ODD):
+            return _SAFE_BLANK.split(text)
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t or "") for t in texts]
-        new = {p for pieces in split for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > self.most:
-            self.known, self.words = {}, {"": b""}
-            new = {p for pieces in split for p in pieces}
-        self._learn(new)
         ids_of = self.known.__getitem__
-        return [b"".join(map(ids_of, pieces)) for pieces in split]
+        out = []
+        for text in texts:
+            first, *rest = self._pieces(text or "")
+            out.append(self.first[first] + b"".join(map(ids_of, rest)))
+        return out
 
 
 @functools.cache
