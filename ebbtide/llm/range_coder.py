@@ -14,6 +14,7 @@ the words already written.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -217,25 +218,23 @@ def decode_lanes(coded: list[bytes], lengths: np.ndarray, alphabet: int) -> list
 
 
 def _alphabet(different: int) -> int:
-    """Sizes go by powers of two, so that blocks can share the lanes of one pass."""
     return max(256, 1 << max(0, different - 1).bit_length())
 
 
-def _batches(sizes: list[int]):
-    """Places of blocks of one size, LANES at a time."""
-    for size in sorted(set(sizes)):
-        own = [i for i, s in enumerate(sizes) if s == size]
-        for low in range(0, len(own), LANES):
-            yield size, own[low : low + LANES]
+def _batches(count: int):
+    """Ranges of at most LANES blocks, of like size: a short last range would idle."""
+    parts = -(-count // LANES)
+    for i in range(parts):
+        yield range(count * i // parts, count * (i + 1) // parts)
 
 
 def write_blocks(blocks: list[tuple[np.ndarray, bytes]]) -> list[bytes]:
     """Each block, at most 2**16 ids below 2**32 and a table of its documents, as bytes that can be
     read by themselves."""
     listed = [np.unique(ids, return_inverse=True) for ids, _ in blocks]
-    sizes = [_alphabet(len(different)) for different, _ in listed]
     out = [b""] * len(blocks)
-    for size, own in _batches(sizes):
+    for own in _batches(len(blocks)):
+        size = _alphabet(max(len(listed[i][0]) for i in own))  # one for all lanes
         for i, words in zip(own, encode_lanes([listed[i][1] for i in own], size)):
             ids, documents = blocks[i]
             steps = np.diff(listed[i][0], prepend=0).astype("<u4").tobytes()
@@ -257,19 +256,27 @@ def read_blocks(payloads: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
         heads.append(head)
         bodies.append(body)
     out: list[tuple[np.ndarray, bytes]] = [(np.zeros(0, np.int64), b"")] * len(payloads)
-    for size, own in _batches([h[3] for h in heads]):
-        lengths = np.array([heads[i][4] for i in own], np.int64)
-        coded = [bodies[i][heads[i][7] :] for i in own]
-        for i, places in zip(own, decode_lanes(coded, lengths, size)):
-            tables = zlib.decompress(bodies[i][: heads[i][7]])
-            end = 4 + struct.unpack_from("<I", tables)[0]
-            ids = np.cumsum(np.frombuffer(tables[4:end], "<u4").astype(np.int64))[places]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][6]:
-                raise ValueError("a block of token ids does not decode to its checksum")
-            out[i] = ids, tables[end:]
+    sizes = sorted({(h[3], i) for i, h in enumerate(heads)})
+    for size, group in itertools.groupby(sizes, key=lambda s: s[0]):
+        members = [i for _, i in group]
+        for own in ([members[i] for i in r] for r in _batches(len(members))):
+            lengths = np.array([heads[i][4] for i in own], np.int64)
+            coded = [bodies[i][heads[i][7] :] for i in own]
+            for i, places in zip(own, decode_lanes(coded, lengths, size)):
+                out[i] = _listed(places, heads[i], bodies[i])
     return out
 
 
+def _listed(places: np.ndarray, head: tuple, body: bytes) -> tuple[np.ndarray, bytes]:
+    """Ids and document table of a block whose places in the list of different ids are known."""
+    tables = zlib.decompress(body[: head[7]])
+    end = 4 + struct.unpack_from("<I", tables)[0]
+    ids = np.cumsum(np.frombuffer(tables[4:end], "<u4").astype(np.int64))[places]
+    if zlib.crc32(ids.astype("<u4").tobytes()) != head[6]:
+        raise ValueError("a block of token ids does not decode to its checksum")
+    return ids, tables[end:]
+
+
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
     """CRC-32 of two byte strings in a row, from their own: first * x^(8n) + second, modulo the
     CRC's polynomial with bits in reverse."""

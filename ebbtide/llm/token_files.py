@@ -25,7 +25,7 @@ from ebbtide.session import materialize, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-TEXT_BYTES_PER_FILE = 32 << 20
+TEXT_BYTES_PER_FILE = 16 << 20
 _LAST = (1 << 63) - 1
 _TABLE = np.dtype([("id", "<i8"), ("null", "u1"), ("row", "<u4"), ("part", "<u4"), ("last", "u1"), ("length", "<u4")])
 _PARTS = "file int, block int, row long, id long, part int, last boolean, start long, n long, crc long"
@@ -44,10 +44,10 @@ def _coder(path: str, drops_blanks: bool, end_id: int):
         entries: list[tuple] = []
         room = BLOCK_IDS
 
-        def flush(least: int) -> Iterator[pd.DataFrame]:
+        def flush(least: int, most: int) -> Iterator[pd.DataFrame]:
             nonlocal ready, number
-            while len(ready) >= least and ready:
-                some, ready = ready[:LANES], ready[LANES:]
+            while len(ready) >= least:
+                some, ready = ready[:most], ready[most:]
                 out = write_blocks(some)
                 sizes = [len(ids) for ids, _ in some]
                 yield pd.DataFrame({"file": file, "block": range(number, number + len(out)), "n_ids": sizes, "payload": out})
@@ -76,9 +76,9 @@ def _coder(path: str, drops_blanks: bool, end_id: int):
                         if not room:
                             close()
                     row += 1
-                yield from flush(LANES)
+                yield from flush(2 * LANES, LANES)
         close()
-        yield from flush(1)
+        yield from flush(1, 2 * LANES)  # in two passes of like width
 
     return code
 
@@ -119,8 +119,8 @@ def write_token_files(
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per part of a document: its place in its block and the checksum of its ids."""
     for batch in batches:
-        for low in range(0, len(batch), LANES):
-            some = batch.iloc[low : low + LANES]
+        for low in range(0, len(batch), 2 * LANES):
+            some = batch.iloc[low : low + 2 * LANES]
             out = []
             for file, block, (ids, documents) in zip(some["file"], some["block"], read_blocks(some["payload"].tolist())):
                 data = ids.astype("<u4").tobytes()
@@ -133,15 +133,20 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame.astype({"id": "Int64"})
 
 
-def _joined(parts: pd.DataFrame) -> pd.DataFrame:
-    """One document of several parts, from the parts' lengths and checksums."""
-    parts = parts.sort_values("part")
-    crc = 0
-    for n, own in zip(parts["n"], parts["crc"]):
-        crc = crc32_joined(crc, int(own), 4 * int(n))
-    out = parts.iloc[:1].copy()
-    out["n"], out["crc"], out["last"] = parts["n"].sum(), crc, True
-    return out
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of several parts, which come in order, from the parts' lengths and checksums."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    held: list | None = None
+    for batch in batches:
+        out = []
+        for file, block, row, doc, part, last, start, n, crc in batch[names].astype(object).itertuples(index=False):
+            if part == 0:
+                held = [file, block, row, None if pd.isna(doc) else doc, 0, True, start, n, crc]
+            else:
+                held[7], held[8] = held[7] + n, crc32_joined(held[8], crc, 4 * n)
+            if last:
+                out.append(held)
+        yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +172,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "token-parts",
     )
     whole = (F.col("part") == 0) & F.col("last")
-    split = parts.where(~whole).groupBy("file", "row").applyInPandas(_joined, _PARTS)
+    split = (
+        parts.where(~whole)
+        .repartition("file", "row")
+        .sortWithinPartitions("file", "row", "part")
+        .mapInPandas(_joined, _PARTS)
+    )
     return parts.where(whole).unionByName(split).select(
         "id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")
     )
