@@ -81,8 +81,9 @@ def linked_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     right = index.where(whole | (F.col("bit") == 1)).select("slot", "rest", F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits
     once = (F.col("slot") % 128 != 64) | (F.col("x") < F.col("y"))
+    # Merged, never broadcast: the size that is estimated for exploded rows is far too small.
     return (
-        left.join(right, ["slot", "rest"])
+        left.join(right.hint("merge"), ["slot", "rest"])
         .where(near & once)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
@@ -109,7 +110,8 @@ def near_groups(
     )
     smallest = placed.groupBy("group").agg(F.min("least").alias("component_id"))
     groups = placed.join(smallest, "group").select("fp", "group", "component_id")
-    return rows.join(groups, "fp")
+    # Stored, so that both sides of the join are plain shuffles and a large group can be split.
+    return rows.join(materialize(groups, "fingerprint-groups"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
