@@ -54,7 +54,7 @@ class _Codes(dict):
         tail = head[len(core) :][:3]
         shape = zlib.crc32(lead + b" " + kind + b" " + tail) % SHAPES
         code = shape * BUCKETS + zlib.crc32(core.lower()) % BUCKETS
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = code
         return code
