@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import hash_pair, table
+from ebbtide.session import materialize
 
 WINDOW_LINES = 3
 _LAST = (1 << 63) - 1
@@ -49,6 +50,8 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    # Stored, so that both sides of the join are plain shuffles and a frequent window can be split.
+    first = materialize(first, "first-windows")
     row = ["place", "h1", "h2"]
     later = (
         windows.join(first, ["k1", "k2"])
