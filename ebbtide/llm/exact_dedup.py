@@ -113,6 +113,8 @@ def exact_groups(
     groups = known.groupBy("level", "name").agg(
         F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")
     )
+    # Stored, so that both sides of the join are plain shuffles and a large group can be split.
+    groups = materialize(groups, "copy-groups")
     return (
         known.join(groups, ["level", "name"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
