@@ -293,6 +293,31 @@ def test_classifier_on_edge_rows(spark):
     assert quality_classifier.resample(no_docs(spark), labels).count() == 0
 
 
+def test_classifier_with_few_labels(spark):
+    """At sf0.01 each insult is in 12 to 21 labelled documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").where("quality > 0").collect()
+    for some in (labels, labels.where("doc_id % 4 <> 1")):
+        kept = {r.id for r in quality_classifier.resample(docs, some).collect()}
+        toxic = [r.doc_id in kept for r in rows if r.toxic and r.lang == "en"]
+        clean = [r.doc_id in kept for r in rows if not r.toxic]
+        assert len(toxic) > 25 and sum(toxic) <= 0.05 * len(toxic)
+        assert sum(clean) >= 0.99 * len(clean)
+
+
+def test_labelled_classes(spark):
+    rows = [(i, 1, 0) for i in range(5_000)] + [(i, 0, 1) for i in range(5_000, 5_600)] + [(i, 1, 1) for i in range(6_000, 6_050)]
+    rows += [(7_000, None, 1), (7_001, None, 0), (7_002, None, None), (None, 1, 1), (7_000, 1, 0), (7_003, 1, 0), (7_003, None, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    every = {r.id: (r.kind, r.of) for r in quality_classifier.labelled_classes(labels).collect()}
+    assert len(every) == 5_652 and every[0] == (0, 5_000) and every[5_000] == (1, 600)
+    assert every[7_000] == every[7_003] == every[6_000] == (2, 52)
+    some = quality_classifier.labelled_classes(labels, most=1_000).collect()
+    of = {kind: [r.of for r in some if r.kind == kind] for kind in range(3)}
+    assert len(some) <= 1_000 and of[2] == [52] * 52 and min(len(of[0]), len(of[1])) > 380
+    assert set(of[0]) == {5_000} and set(of[1]) == {600}
+
+
 def test_greatest_keys(spark):
     draw = random.Random(6)
     values = [draw.gauss(0, 1) for _ in range(500)] + [0.25] * 20
