@@ -87,7 +87,6 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_blanks = drops_blanks
         words = _Words(self.tokenizer.model)
         self.first = _Pieces(self.tokenizer, words, "", drops_blanks, most // 4)

@@ -210,6 +210,21 @@ def test_pieces_give_the_library_ids():
         assert encoder.encode(texts) == want
 
 
+def test_special_tokens_in_texts_give_the_library_ids():
+    from tokenizers import Tokenizer
+
+    marks = ["<|endoftext|>", "<|startoftext|>"]
+    texts = [t.replace("@", m) for m in marks for t in (
+        "a @ b", "@", "@ a", "a @", " @ ", "a@b", "a@ b c", "a @b c", "@@", "@ @ x", "x\n@\ny", "\n@", "@\n", "a  @  b", "a \n @ \n b",
+        "tab\t@\t b", "a @ ", " @ a", "It's @, and @. So", "A@ B @C", "a @\n\n b c", "\x1c@ b", "a.@ b", "1 @ 2", "é @ ß c",
+    )] + ["<|endoftext|", "a <| endoftext |> b", "<|ENDOFTEXT|> a", "<|endoftext|><|startoftext|> a b"]
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        library = Tokenizer.from_file(public_path(name))
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in TextIds(public_path(name), drops).encode(texts)]
+        for text, ids in zip(texts, got):
+            assert ids == library.encode(text, add_special_tokens=False).ids, (name, text)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 70_000), max_size=300), max_size=5), st.integers(1, 4))
 def test_range_coder_round_trip(blocks, repeat):
