@@ -5,8 +5,9 @@ dealt to cells, each to the cell of its nearest pivot (its home). For a vector y
 and any x of cell a at distance r or less, the triangle inequality gives d(y,a) - d(y,b) <= 2r, and the
 plane between a and b, on whose far side x lies, the sharper d(y,a)^2 - d(y,b)^2 <= 2r d(a,b). y visits
 the cells for which that holds. Of two cells only the vectors of the later one visit, so each pair is
-met once. Cells with too many homes are split again by pivots of their own; then cells are joined
-independently of each other, visitors in blocks.
+met once. Cells with too many homes are split again by pivots of their own, unless pivots do not take
+them apart (as with many vectors of one direction): then their homes are dealt to blocks, and those of
+later blocks visit the earlier ones. Cells are joined independently of each other, visitors in blocks.
 
 Equal vectors are collapsed first. A cell gives back counts and, for the components, one edge per
 vector, not its pairs. No pivot table is broadcast: pivots go to the blocks of their own cell.
@@ -28,6 +29,8 @@ MIN_COSINE = 0.93
 CELL_ROWS = 2048
 PIVOTS = 64
 BLOCK_ROWS = 8192
+#: A cell that keeps more than this share of its parent's homes is not split again.
+MOST_KEPT = 0.75
 _SLACK = 1e-9
 _LAST = (1 << 63) - 1
 
@@ -112,20 +115,39 @@ def _matcher(min_cosine: float):
     return match
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of cells, each dealt to cells of about CELL_ROWS homes: of two homes that of the later
+    one visits the earlier, and who visited the cell visits all."""
+    blocks = F.ceil(F.col("homes") / CELL_ROWS)
+    salted = rows.withColumn("salt", F.when(F.col("home"), F.pmod(F.xxhash64(F.lit(-1), "node"), blocks)).otherwise(blocks - 1))
+    return salted.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), "salt"))).select(
+        F.concat_ws("#", "cell", F.col("place").cast("string")).alias("cell"),
+        (F.col("home") & (F.col("place") == F.col("salt"))).alias("home"), "node", "copies", "vec",
+    )
+
+
 def _cells(state: DataFrame, radius: float) -> DataFrame:
-    """(cell, home, node, copies, vec): dealt until no cell has more than CELL_ROWS homes."""
+    """(cell, home, node, copies, vec): dealt until no cell has more than about CELL_ROWS homes."""
     columns = ["cell", "home", "node", "copies", "vec"]
     schema = "cell string, home boolean, node long, copies long, vec array<double>"
-    done = None
+    done = last = None
     for number in range(1 << 30):
         sizes = state.groupBy("cell").agg(
             F.count(F.when(F.col("home"), 1)).alias("homes"), F.count(F.lit(1)).alias("n")
         )
-        big = materialize(sizes.where(F.col("homes") > CELL_ROWS), "large-cells")
-        small = state.join(big, "cell", "left_anti").select(*columns)
+        large, stuck = sizes.where(F.col("homes") > CELL_ROWS), F.lit(False)
+        if last is not None:
+            large = large.withColumn("parent", F.regexp_replace("cell", "/[^/]*$", "")).join(last, "parent")
+            stuck = F.col("homes") > MOST_KEPT * F.col("parent_homes")
+        large = materialize(large.select("cell", "homes", "n", stuck.alias("stuck")), "large-cells")
+        small = state.join(large, "cell", "left_anti").select(*columns)
         done = small if done is None else done.unionByName(small)
+        whole, big = large.where("stuck"), large.where("NOT stuck")
+        if not whole.isEmpty():
+            done = done.unionByName(_in_blocks(state.join(whole, "cell")))
         if big.isEmpty():
             return done
+        last = big.select(F.col("cell").alias("parent"), F.col("homes").alias("parent_homes"))
         blocks = F.ceil(F.col("n") / BLOCK_ROWS)
         rows = state.join(big, "cell")
         wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(8), F.ceil(2 * F.col("homes") / CELL_ROWS)))

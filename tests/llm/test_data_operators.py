@@ -74,6 +74,26 @@ def test_range_join_against_all_pairs(spark, monkeypatch, cell):
     assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
+def test_range_join_of_parallel_vectors(spark, monkeypatch):
+    """Vectors of one direction, which no pivot takes apart, among others."""
+    stored = metric_join.materialize
+
+    def bounded(df, purpose, rounds=[]):  # noqa: B006
+        rounds += [purpose] * (purpose == "cells")
+        assert len(rounds) < 12, "cells are not split any further"
+        return stored(df, purpose)
+
+    monkeypatch.setattr(metric_join, "CELL_ROWS", 20)
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(metric_join, "materialize", bounded)
+    rows = [(i, [i + 1.0] + [0.0] * 5, 0) for i in range(150)]
+    rows += [(200 + i, [3.0, 0.05 * i] + [0.0] * 4, 0) for i in range(1, 40)]
+    rows += [(i + 300, v, label) for i, (_, v, label) in enumerate(vector_rows(7)[:120])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = metric_join.range_join(vectors).collect()
+    assert sorted((str(r.id), r.n_links, str(r.component_id)) for r in got) == links_brute(rows)
+
+
 def test_range_join_of_nothing(spark):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert metric_join.range_join(vectors).count() == 0
