@@ -11,10 +11,8 @@ from ebbtide.schema import USER
 from ebbtide.session import materialize, shared_dir
 from ebbtide.streaming.score import arriving_users, score_stream as start_scoring
 from ebbtide.tuning import search
-from ebbtide.tuning.space import draws, trial_recipe
 
-# Budget of the registered tuning queries; the library's default is 5 trials of 10 folds.
-TRIALS, FOLDS, TREES = 3, 3, 5
+TRIALS, FOLDS = 5, 10
 
 
 def held_out(recipe: str):
@@ -62,10 +60,11 @@ _searches: dict = {}
 
 
 def _trials(spark, folder):
+    """The whole search with the recipes' own trees, run once for all queries on it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _searches:
         learn, _ = common.halves(spark, folder)
-        _searches[key] = search.search(learn, trials=TRIALS, folds=FOLDS, trees=TREES)
+        _searches[key] = search.search(learn, trials=TRIALS, folds=FOLDS)
     return _searches[key]
 
 
@@ -75,12 +74,8 @@ def tune_cv(spark, folder):
 
 
 def tune_search(spark, folder):
-    """One cross-validated trial: the first draw."""
-    learn, _ = common.halves(spark, folder)
-    folded = search.kfold_assign(learn, FOLDS, name=search.FOLD)
-    params = draws(1)[0]
-    scores = search.cross_validate(trial_recipe(params, TREES), folded, FOLDS)
-    return search.trials_frame(spark, [search.Trial(0, params, scores)])
+    """The best trial of the search."""
+    return search.trials_frame(spark, [search.best_trial(_trials(spark, folder))])
 
 
 def tune_trials(spark, folder):
@@ -89,7 +84,7 @@ def tune_trials(spark, folder):
 
 def refit_best(spark, folder):
     learn, test = common.halves(spark, folder)
-    model = search.refit_best(learn, _trials(spark, folder), TREES)
+    model = search.refit_best(learn, _trials(spark, folder))
     return scoring.predict_proba(model, test)
 
 

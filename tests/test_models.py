@@ -93,3 +93,24 @@ def test_search_history_and_time_limit(spark, train):
     assert search.best_trial(later).number == 1
     best = {r["trial"]: r["best_so_far"] for r in search.trials_frame(spark, later).collect()}
     assert best[1] == best[2] == 0.99
+
+
+def test_tuning_queries_run_the_whole_search_once(spark, folder, monkeypatch):
+    from ebbtide.registry import modeling
+
+    asked, refitted = [], []
+
+    def validated(recipe, folded, folds, *_):
+        asked.append((recipe, folds))
+        return (0.1 * len(asked),) * (folds - 1) + (None,)
+
+    monkeypatch.setattr(modeling, "_searches", {})
+    monkeypatch.setattr(search, "cross_validate", validated)
+    monkeypatch.setattr(search, "fit_recipe", lambda recipe, rows: refitted.append(recipe))
+    monkeypatch.setattr(modeling.scoring, "predict_proba", lambda model, rows: None)
+    assert modeling.tune_cv(spark, folder).count() == 5 * 10
+    assert {r["trial"] for r in modeling.tune_trials(spark, folder).collect()} == set(range(5))
+    assert {r["trial"] for r in modeling.tune_search(spark, folder).collect()} == {4}
+    modeling.refit_best(spark, folder)
+    assert asked == [(trial_recipe(params), 10) for params in draws(5)]
+    assert refitted == [trial_recipe(draws(5)[4])]
