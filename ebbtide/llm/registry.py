@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from ebbtide.llm.conversation_repair import op11_conversation_repair
+from ebbtide.llm.divergence_audit import OP12_SQL, op12_divergence_audit
 from ebbtide.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ebbtide.llm.harmonic_packing import op13_harmonic_packing
 from ebbtide.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ebbtide.llm.metric_join import op3_metric_join
 from ebbtide.llm.mixing import op4_source_mixing
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_tool_calls": op10_tool_calls,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_harmonic_packing": op13_harmonic_packing,
 }
 
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op12_divergence_audit": OP12_SQL,
 }
