@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 _local_roots: dict[str, str] = {}
+_stage_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_watched: list[list[DataFrame]] = []
 
 
 def build_session(app: str = "ebbtide", master: str | None = None, partitions: int | None = None):
@@ -65,5 +69,32 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Cut lineage by writing a stage table; survives the loss of executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stage_paths[stored] = path
+    for made in _watched:
+        made.append(stored)
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a stage table that nothing reads any more; `stored` is what `materialize` returned."""
+    path = _stage_paths.pop(stored, None)
+    if path:
+        spark = stored.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settle(build: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """Materialize what `build` returns, and delete the stage tables that it made on the way: the result
+    is stored and reads them no more."""
+    made: list[DataFrame] = []
+    _watched.append(made)
+    try:
+        result = build()
+    finally:
+        _watched[:] = [other for other in _watched if other is not made]
+    stored = materialize(result, purpose)
+    for table in made:
+        release(table)
+    return stored
