@@ -16,8 +16,8 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import BLANKS, hash_pair, table
-from ebbtide.session import materialize
+from ebbtide.llm.common import BLANKS, hash_pair, identity, matching_rows, table
+from ebbtide.session import materialize, release, settle
 
 BLOCK_BYTES = 4096
 
@@ -62,6 +62,7 @@ def identities(
         )
         if named.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
+        release(named)
     level = materialize(
         blocks.groupBy("id", "sha", "n_bytes", "pos", "h1", "h2")
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -69,6 +70,7 @@ def identities(
         .select("id", "sha", "n_bytes", "copies", "pos", "name"),
         "level-0",
     )
+    release(named)
     most = level.agg(F.max("pos")).first()[0] or 0
     done = []
     rank = 0
@@ -94,6 +96,8 @@ def identities(
         level = pairs.join(names, ["left", "right"]).drop("left", "right")
         rank += 1
         level = materialize(level, f"level-{rank}")
+        release(pairs)
+        release(names)
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
@@ -109,7 +113,7 @@ def exact_groups(
     repeat both id and text one is kept. Null texts are empty texts. An empty table gives no rows.
     Other columns of `docs` are not read.
     """
-    known = materialize(identities(docs, id_col, text_col, block_bytes), "identities")
+    known = settle(lambda: identities(docs, id_col, text_col, block_bytes), "identities")
     groups = known.groupBy("level", "name").agg(
         F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")
     )
@@ -127,17 +131,15 @@ def exact_groups(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_groups` keeps, with all their columns."""
-    kept = (
-        exact_groups(docs, id_col, text_col)
-        .where("kept")
-        .select(F.col("id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    )
+    """The rows of `docs` that `exact_groups` keeps, with all their columns. Of rows that repeat id and
+    text one stays."""
+
+    def kept() -> DataFrame:
+        groups = exact_groups(docs, id_col, text_col).where("kept")
+        return groups.select(*identity(F.col("id")), "text_sha256").distinct()
+
     sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    rows = docs.withColumn("_row_sha", sha)
-    match = rows["_row_sha"].eqNullSafe(kept["_keep_sha"]) & rows[id_col].eqNullSafe(kept["_keep_id"])
-    # Repeated rows of one id and one text are alike: one of them stays.
-    return rows.join(kept, match, "left_semi").dropDuplicates(["_row_sha", id_col]).drop("_row_sha")
+    return matching_rows(docs, [*identity(F.col(id_col)), sha], settle(kept, "kept-first"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

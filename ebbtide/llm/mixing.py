@@ -17,8 +17,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import BLANKS, hash_pair, table
-from ebbtide.session import materialize
+from ebbtide.llm.common import BLANKS, hash_pair, identity, matching_rows, table
+from ebbtide.session import materialize, settle
 
 MAX_REPEATS = 2.0
 SEED = 4
@@ -176,18 +176,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows alike in id, source and text are taken for one another.
     """
-    copies = (
-        mix(docs, id_col, text_col, source_col)
-        .groupBy("doc_id", "source", "h1", "h2")
-        .agg(F.count(F.lit(1)).alias("taken"))
-        .select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "h1", "h2", "taken")])
-    )
-    rows = docs.withColumns(dict(zip(("_h1", "_h2"), hash_pair(F.col(text_col).cast("string")))))
-    keys = {id_col: "doc_id", source_col: "source", "_h1": "h1", "_h2": "h2"}
-    match = [rows[own].eqNullSafe(copies[f"_mix_{other}"]) for own, other in keys.items()]
-    found = rows.dropDuplicates(list(keys)).join(copies, match)
-    once = F.explode(F.sequence(F.lit(1).cast("long"), "_mix_taken")).alias("_mix_copy")
-    return found.select(*docs.columns, once).drop("_mix_copy")
+
+    def taken() -> DataFrame:
+        mixed = mix(docs, id_col, text_col, source_col)
+        return mixed.groupBy(*identity(F.col("doc_id"), F.col("source")), "h1", "h2").agg(F.count(F.lit(1)).alias("taken"))
+
+    keys = identity(F.col(id_col), F.col(source_col), text=F.col(text_col).cast("string"))
+    return matching_rows(docs, keys, settle(taken, "mix-taken"), "taken")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import hash_pair, table
-from ebbtide.session import materialize
+from ebbtide.llm.common import hash_pair, identity, matching_rows, table
+from ebbtide.session import materialize, settle
 
 BUCKETS = 1 << 20
 SHAPES = 1 << 16
@@ -262,18 +262,14 @@ def resample(
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are sampled, with all their columns."""
-    kept = resample(docs, labels, id_col, text_col).select(
-        *[F.col(c).alias(f"_kept_{c}") for c in ("id", "h1", "h2")]
-    ).distinct()
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumns(dict(zip(("_h1", "_h2"), hash_pair(text))))
-    match = (
-        rows[id_col].eqNullSafe(kept["_kept_id"])
-        & rows["_h1"].eqNullSafe(kept["_kept_h1"])
-        & rows["_h2"].eqNullSafe(kept["_kept_h2"])
-    )
-    return rows.join(kept, match, "left_semi").drop("_h1", "_h2")
+    """The rows of `docs` that are sampled, with all their columns; repeated rows stay rows of their own."""
+
+    def kept() -> DataFrame:
+        return resample(docs, labels, id_col, text_col).select(*identity(F.col("id")), "h1", "h2").distinct()
+
+    # a sampled row stands for all rows of its id and text, which have the same key
+    keys = identity(F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
+    return matching_rows(docs, keys, settle(kept, "kept-sampled"), every=True)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import components, hash_pair, table
-from ebbtide.session import materialize
+from ebbtide.llm.common import components, hash_pair, identity, matching_rows, table
+from ebbtide.session import materialize, settle
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42
 _CHUNK = 1 << 16
@@ -115,23 +115,16 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, the one with the smallest id, with all its columns."""
-    groups = materialize(near_groups(docs, id_col, text_col), "simhash-groups")
-    kept = (
-        groups.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("group")
-        .agg(F.min(F.struct("id", "h1", "h2")).alias("row"))
-        .select(*[F.col(f"row.{c}").alias(f"_kept_{c}") for c in ("id", "h1", "h2")])
-    )
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumns(dict(zip(("_h1", "_h2"), hash_pair(text))))
-    match = (
-        rows[id_col].eqNullSafe(kept["_kept_id"])
-        & rows["_h1"].eqNullSafe(kept["_kept_h1"])
-        & rows["_h2"].eqNullSafe(kept["_kept_h2"])
-    )
-    # Rows that repeat id and text are alike: one of them stays.
-    return rows.join(kept, match, "left_semi").dropDuplicates([id_col, "_h1", "_h2"]).drop("_h1", "_h2")
+    """One row of each group, the one with the smallest id, with all its columns. Rows that repeat id
+    and text are alike: one of them stays."""
+
+    def kept() -> DataFrame:
+        groups = near_groups(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+        least = groups.groupBy("group").agg(F.min(F.struct("id", "h1", "h2")).alias("row"))
+        return least.select(*identity(F.col("row.id")), "row.h1", "row.h2")
+
+    keys = identity(F.col(id_col), text=F.col(text_col).cast("string"))
+    return matching_rows(docs, keys, settle(kept, "kept-one"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

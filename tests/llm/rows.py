@@ -33,12 +33,15 @@ EDGE = [
 ]
 
 #: Columns that clash with names the operators use inside.
-CLASH = "id long, place long, name string, kept boolean, h1 string, chunk int, length int, cell string, rest int"
+CLASH = (
+    "id long, place long, name string, kept boolean, h1 string, chunk int, length int, cell string, rest int, "
+    "_h1 string, _row_sha string, key0 int, row string, copy int, taken int, _mix_copy int"
+)
 
 
 def edge_docs(spark):
     """The rows above with clashing columns beside them."""
-    extra = (0, 1, "n", False, "h", 2, 3, "c", 4)
+    extra = (0, 1, "n", False, "h", 2, 3, "c", 4, "own", "sha", 5, "r", 6, 7, 8)
     return spark.createDataFrame([r + extra for r in EDGE], f"doc_id long, text string, source string, {CLASH}")
 
 
