@@ -34,25 +34,27 @@ def patterns(codes: np.ndarray, depth: int) -> np.ndarray:
     return (codes[:, None] >> np.arange(depth)) & 1
 
 
-def prepare(features, low, high, cover, value: float) -> tuple:
-    """Arrays of a leaf, with the table of all patterns if its path is short."""
+def prepare(features, low, high, cover, value: float, missing=()) -> tuple:
+    """Arrays of a leaf, with the table of all patterns if its path is short. `missing` tells which
+    tests let missing values through; none of them if it is empty."""
     cover = np.array(cover, dtype=float)
     depth = len(cover)
     table = None
     if 0 < depth <= TABLE_DEPTH:
         table = contributions(patterns(np.arange(2**depth), depth), cover, value)
-    return np.array(features, dtype=int), np.array(low), np.array(high), cover, value, table
+    takes = np.array(missing or [False] * depth, dtype=bool)
+    return np.array(features, dtype=int), np.array(low), np.array(high), takes, cover, value, table
 
 
 def explain_rows(rows: np.ndarray, leaves: list[tuple]) -> np.ndarray:
     """Shapley values (rows x features) summed over all leaves."""
     out = np.zeros_like(rows)
-    for features, low, high, cover, value, table in leaves:
+    for features, low, high, takes, cover, value, table in leaves:
         depth = len(features)
         if depth == 0:
             continue
         x = rows[:, features]
-        codes = ((x > low) & (x <= high)) @ (1 << np.arange(depth, dtype=np.int64))
+        codes = ((x > low) & (x <= high) | np.isnan(x) & takes) @ (1 << np.arange(depth, dtype=np.int64))
         if table is not None:
             out[:, features] += table[codes]
         else:

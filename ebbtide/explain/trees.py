@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ebbtide.boosting.model import BoostedModel
 from ebbtide.session import shared_dir
 
 
@@ -14,8 +16,9 @@ from ebbtide.session import shared_dir
 class Leaf:
     """A leaf and the distinct features tested on its path.
 
-    A row satisfies feature `i` if `low[i] < x <= high[i]`. `cover[i]` is the share of
-    training rows that the tests of this feature let through.
+    A row satisfies feature `i` if `low[i] < x <= high[i]`, or if x is missing and `missing[i]`.
+    `cover[i]` is the share of training rows (of their Hessians, where the model sums these) that the
+    tests of this feature let through.
     """
 
     value: float
@@ -23,6 +26,7 @@ class Leaf:
     low: tuple[float, ...]
     high: tuple[float, ...]
     cover: tuple[float, ...]
+    missing: tuple[bool, ...] = ()
 
 
 def node_table(spark: SparkSession, model) -> DataFrame:
@@ -44,12 +48,39 @@ def _goes_left(split) -> tuple[float, float, float, float]:
     return 0.5, math.inf, -math.inf, 0.5
 
 
+def _boosted_leaves(model: BoostedModel) -> list[Leaf]:
+    """Leaves of a second-order booster, from its arrays."""
+    cuts = [np.append(c, math.inf) for c in model.cuts]
+    found: list[Leaf] = []
+    for (tree, weight), cover in zip(model.trees, model.covers):
+        stack = [(0, {})]
+        while stack:
+            node, tests = stack.pop()
+            feature = int(tree.feature[node])
+            if feature < 0:
+                order = sorted(tests)
+                columns = zip(*[tests[f] for f in order]) if order else [()] * 4
+                low, high, share, missing = map(tuple, columns)
+                found.append(Leaf(weight * float(tree.value[node]), tuple(order), low, high, share, missing))
+                continue
+            threshold = float(cuts[feature][tree.code[node] - 1])
+            low, high, share, missing = tests.get(feature, (-math.inf, math.inf, 1.0, True))
+            for child, is_left in ((int(tree.left[node]), True), (int(tree.right[node]), False)):
+                bounds = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
+                takes = missing and bool(tree.missing_left[node]) == is_left
+                own = share * float(cover[child] / cover[node])
+                stack.append((child, {**tests, feature: (*bounds, own, takes)}))
+    return found
+
+
 def leaves(spark: SparkSession, model) -> list[Leaf]:
     """All leaves of a boosted or bagged model; as large as the model the driver holds.
 
     Boosting: leaf values are weighted predictions and add up to the margin. Forest: they
     are shares of class 1 over the number of trees and add up to the probability.
     """
+    if isinstance(model, BoostedModel):
+        return _boosted_leaves(model)
     weights = list(model.treeWeights)
     is_forest = "RandomForest" in type(model).__name__
     trees: dict[int, dict[int, object]] = {}

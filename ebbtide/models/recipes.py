@@ -6,7 +6,6 @@ parameters reach the driver.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -20,6 +19,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
+from ebbtide.boosting.model import BoostingClassifier
+from ebbtide.boosting.params import Booster
 from ebbtide.features.buckets import bucket_clause, transform_clause
 from ebbtide.features.builder import FEATURES, feature_names, feature_stages
 from ebbtide.features.categories import onehot_stages
@@ -29,7 +30,6 @@ from ebbtide.session import ensure_checkpoint_dir
 
 SEED = 42
 WEIGHT = "_weight"
-ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,6 @@ class Recipe:
         return replace(self, params={**self.params, **params})
 
 
-DEEP_TREES = {"maxDepth": 6, "stepSize": 0.3}
-
 RECIPES = {
     "logreg_numeric": Recipe("logreg", "numeric", "balanced"),
     "logreg_full": Recipe("logreg", "full", "balanced"),
@@ -56,10 +54,10 @@ RECIPES = {
     "forest_full": Recipe("forest", "full", "balanced"),
     "boosting_numeric": Recipe("boosting", "numeric"),
     "boosting_full": Recipe("boosting", "full"),
-    "weighted_boosting_numeric": Recipe("boosting", "numeric", "base_rate", DEEP_TREES),
-    "weighted_boosting_full": Recipe("boosting", "full", "base_rate", DEEP_TREES),
+    "weighted_boosting_numeric": Recipe("second_order", "numeric", "base_rate"),
+    "weighted_boosting_full": Recipe("second_order", "full", "base_rate"),
     "logreg_sql": Recipe("logreg", "bins", None, {"regParam": 0.0}),
-    "boosting_sql": Recipe("boosting", "bins", "balanced", DEEP_TREES),
+    "boosting_sql": Recipe("second_order", "bins", "balanced"),
     "perceptron_sql": Recipe("perceptron", "all_but_ids"),
 }
 
@@ -91,6 +89,11 @@ def recipe_stages(recipe: Recipe) -> list:
     return stages
 
 
+def booster_of(recipe: Recipe) -> Booster:
+    """The booster of a second-order recipe."""
+    return Booster(**{"seed": SEED, **recipe.params})
+
+
 def classifier(recipe: Recipe, rows: int, width: int):
     """The classifier of a recipe for `rows` training rows and `width` features."""
     common = {"featuresCol": FEATURES, "labelCol": recipe.roles.label}
@@ -119,6 +122,8 @@ def classifier(recipe: Recipe, rows: int, width: int):
     if recipe.family == "boosting":
         defaults = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": SEED}
         return GBTClassifier(**common, **{**defaults, **recipe.params})
+    if recipe.family == "second_order":
+        return BoostingClassifier(**common, booster=booster_of(recipe), keyCol=USER)
     if recipe.family == "perceptron":
         params = dict(recipe.params)
         hidden = params.pop("hidden", [128])
@@ -127,19 +132,13 @@ def classifier(recipe: Recipe, rows: int, width: int):
     raise ValueError(f"unknown family {recipe.family!r}")
 
 
-def training_columns(recipe: Recipe, df: DataFrame) -> DataFrame:
-    """Only what the recipe reads; the id stays for joins with the scores."""
+def training_columns(recipe: Recipe, df: DataFrame, *more: str) -> DataFrame:
+    """Only what the recipe reads, and `more`; the id stays for joins with the scores."""
     roles = recipe.roles
-    wanted = [*roles.ignored, *roles.categorical, *roles.numeric, roles.label]
+    wanted = [*roles.ignored, *roles.categorical, *roles.numeric, roles.label, *more]
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def compact(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for a small frame: iterations pay for every task. Large frames keep theirs."""
-    wanted = math.ceil(rows / ROWS_PER_TASK)
-    return df.coalesce(max(1, wanted)) if wanted < df.rdd.getNumPartitions() else df
-
-
 def fit_recipe(recipe: Recipe | str, train: DataFrame) -> PipelineModel:
     """Fit features and classifier. The model holds all stages and scores raw user rows."""
     recipe = RECIPES[recipe] if isinstance(recipe, str) else recipe
@@ -147,9 +146,8 @@ def fit_recipe(recipe: Recipe | str, train: DataFrame) -> PipelineModel:
     kept = training_columns(recipe, train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = kept.count()
-        compacted = compact(kept, rows)
-        prepared = Pipeline(stages=recipe_stages(recipe)).fit(compacted)
-        featured = prepared.transform(compacted)
+        prepared = Pipeline(stages=recipe_stages(recipe)).fit(kept)
+        featured = prepared.transform(kept)
         learned = classifier(recipe, rows, len(feature_names(featured))).fit(featured)
     finally:
         kept.unpersist()

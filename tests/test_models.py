@@ -4,15 +4,18 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 
+from ebbtide.boosting.params import DROPPING, LINEAR, TREES
+from ebbtide.evaluation.confusion import roc_auc_hard
 from ebbtide.evaluation.curves import roc_auc
 from ebbtide.models import scoring, storage
-from ebbtide.models.recipes import RECIPES, fit_recipe
+from ebbtide.models.recipes import RECIPES, booster_of, fit_recipe
+from ebbtide.operators.splitting import kfold_assign
 from ebbtide.registry import common
 from ebbtide.streaming.score import arriving_users, score_stream
 from ebbtide.tuning import search
 from ebbtide.tuning.space import draws, trial_recipe
 
-SMALL = {"boosting": {"maxIter": 3}, "forest": {"numTrees": 3, "maxDepth": 4}, "perceptron": {"maxIter": 5, "hidden": [4]}}
+SMALL = {"boosting": {"maxIter": 3}, "second_order": {"rounds": 3}, "forest": {"numTrees": 3, "maxDepth": 4}, "perceptron": {"maxIter": 5, "hidden": [4]}}
 
 
 @pytest.fixture(scope="module")
@@ -77,40 +80,62 @@ def test_stream_scores_equal_batch_scores(spark, folder, logreg, tmp_path):
 
 def test_draws_are_stable_and_conditional():
     assert draws(20, 7) == draws(20, 7) and draws(20, 7) != draws(20, 8)
+    kinds = set()
     for trial in draws(50):
-        assert ("maxDepth" in trial) == (trial["family"] == "boosting")
-        assert ("regParam" in trial) == (trial["family"] == "logreg")
-        if "maxDepth" in trial:
-            assert 3 <= trial["maxDepth"] <= 7 and 1e-8 <= trial["stepSize"] <= 1
+        kinds.add(trial["kind"])
+        assert ("max_depth" in trial) == ("growth" in trial) == (trial["kind"] != LINEAR)
+        assert ("rate_drop" in trial) == ("normalise_forest" in trial) == (trial["kind"] == DROPPING)
+        if "max_depth" in trial:
+            assert 3 <= trial["max_depth"] <= 7 and 2 <= trial["min_child_weight"] <= 10
+        assert all(1e-8 <= trial.get(name, 1) <= 1 for name in ("reg_lambda", "reg_alpha", "eta", "gamma", "rate_drop", "skip_drop"))
+        assert 0.2 <= trial["subsample"] <= 1 and 0.2 <= trial["colsample"] <= 1
+    assert kinds == {TREES, LINEAR, DROPPING}
     assert trial_recipe(draws(1)[0], 5).weighting == "base_rate"
+    assert booster_of(trial_recipe(draws(1)[0], 5)).rounds == 5
 
 
 def test_search_history_and_time_limit(spark, train):
     trials = search.search(train, trials=2, folds=2, trees=2, timeout=0.0)
     assert len(trials) == 1 and len(trials[0].fold_scores) == 2
     assert trials[0].value == pytest.approx(sum(trials[0].fold_scores) / 2)
-    later = [*trials, search.Trial(1, {"family": "logreg"}, (0.99,)), search.Trial(2, {"family": "logreg"}, (0.1,))]
+    later = [*trials, search.Trial(1, {"kind": LINEAR}, (0.99,)), search.Trial(2, {"kind": LINEAR}, (0.1,))]
     assert search.best_trial(later).number == 1
     best = {r["trial"]: r["best_so_far"] for r in search.trials_frame(spark, later).collect()}
     assert best[1] == best[2] == 0.99
 
 
+def test_folds_together_equal_single_fits(train):
+    """Each fold's score is that of a recipe fitted to the other folds and scored on it."""
+    recipes = [trial_recipe(t, 3) for t in draws(30) if t["kind"] in (TREES, DROPPING)][:2]
+    folded = kfold_assign(train, 3, name=search.FOLD)
+    together = search.cross_validate(recipes, folded, 3)
+    for recipe, areas in zip(recipes, together):
+        for fold in (0, 2):
+            model = fit_recipe(recipe, folded.where(f"{search.FOLD} <> {fold}"))
+            scored = scoring.predict(model, folded.where(f"{search.FOLD} = {fold}"))
+            assert areas[fold] == roc_auc_hard(scored).first()["roc_auc"]
+
+
 def test_tuning_queries_run_the_whole_search_once(spark, folder, monkeypatch):
+    """All trials, folds and trees, uncut, in one search for all queries."""
     from ebbtide.registry import modeling
 
-    asked, refitted = [], []
+    fitted = []
+    boost = search.boost
 
-    def validated(recipe, folded, folds, *_):
-        asked.append((recipe, folds))
-        return (0.1 * len(asked),) * (folds - 1) + (None,)
+    def counted(rows, fits, *args, **more):
+        fitted.append([(f.part, f.booster) for f in fits])
+        return boost(rows, fits, *args, **more)
 
     monkeypatch.setattr(modeling, "_searches", {})
-    monkeypatch.setattr(search, "cross_validate", validated)
-    monkeypatch.setattr(search, "fit_recipe", lambda recipe, rows: refitted.append(recipe))
-    monkeypatch.setattr(modeling.scoring, "predict_proba", lambda model, rows: None)
-    assert modeling.tune_cv(spark, folder).count() == 5 * 10
-    assert {r["trial"] for r in modeling.tune_trials(spark, folder).collect()} == set(range(5))
-    assert {r["trial"] for r in modeling.tune_search(spark, folder).collect()} == {4}
-    modeling.refit_best(spark, folder)
-    assert asked == [(trial_recipe(params), 10) for params in draws(5)]
-    assert refitted == [trial_recipe(draws(5)[4])]
+    monkeypatch.setattr(search, "boost", counted)
+    scores = modeling.tune_cv(spark, folder).collect()
+    assert sorted((r["trial"], r["fold"]) for r in scores) == [(t, f) for t in range(5) for f in range(10)]
+    assert fitted == [[(fold, booster_of(trial_recipe(params))) for params in draws(5) for fold in range(10)]]
+    assert all(b.rounds == 100 for _, b in fitted[0])
+    trials = {r["trial"]: r["metric"] for r in modeling.tune_trials(spark, folder).collect()}
+    assert set(trials) == set(range(5))
+    best = modeling.tune_search(spark, folder).first()
+    assert best["metric"] == max(v for v in trials.values() if v is not None)
+    assert modeling.refit_best(spark, folder).count() == common.halves(spark, folder)[1].count()
+    assert len(fitted) == 1
