@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,58 @@ def saved_model_invariants(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("live") == F.col("loaded")).alias("alike"))
 
 
+def tuning_invariants(spark, folder):
+    """Per trial of the search: its folds, how many are in range, whether its value is their mean, and
+    whether the best trial is at least as good."""
+    folds = modeling.tune_cv(spark, folder).groupBy("trial").agg(
+        F.count(F.lit(1)).alias("n_folds"),
+        F.countDistinct("fold").alias("different_folds"),
+        F.count_if(F.col("metric").isNull() | F.col("metric").between(0, 1)).alias("in_range"),
+        F.avg("metric").alias("mean"),
+    )
+    values = modeling.tune_trials(spark, folder).groupBy("trial").agg(F.first("metric").alias("metric"))
+    best = modeling.tune_search(spark, folder).agg(F.max("metric").alias("best"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    return (
+        folds.join(values, "trial")
+        .crossJoin(F.broadcast(best))  # one row
+        .select("trial", "n_folds", "different_folds", "in_range", near("mean", "metric").alias("value_is_mean"),
+                (F.col("metric") <= F.col("best")).alias("best_is_greatest"))
+    )
+
+
+def refit_invariants(spark, folder):
+    """Held-out users, and how many of them the refitted best trial scores soundly."""
+    p = F.col("probability_1")
+    return modeling.refit_best(spark, folder).agg(
+        F.countDistinct(USER).alias("users"),
+        F.count_if(p.between(0, 1) & (F.abs(p + F.col("probability_0") - 1) < 1e-9)).alias("sound"),
+    )
+
+
+def loss_invariants(spark, folder):
+    """Of the second-order models: trees, and rounds whose loss on the rows learned from is not above
+    that of the round before."""
+    names = ["weighted_boosting_numeric", "weighted_boosting_full", "boosting_sql"]
+    rows = []
+    for name in names:
+        learned = common.model(spark, folder, name).stages[-1]
+        losses = [own for own, _ in learned.loss]
+        rows.append((name, len(learned.trees), sum(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))))
+    return spark.createDataFrame(rows, "recipe string, trees int, falling int")
+
+
+def shap_additivity(spark, folder):
+    """Users for whom contributions and base value add up to the model's margin."""
+    model, users = common.boosted(spark, folder), common.train(spark, folder)
+    margin = vector_to_array("rawPrediction")[1].alias("margin")
+    sums = modeling.shap_values(spark, folder).groupBy(USER).agg((F.sum("shap") + F.first("base")).alias("total"))
+    both = model.transform(users).select(USER, margin).join(sums, USER)
+    return both.agg(
+        F.count(F.lit(1)).alias("users"), F.count_if(F.abs(F.col("margin") - F.col("total")) < 1e-6).alias("additive")
+    )
+
+
 def score_invariants(spark, folder):
     """Per query on scores: rows, users and how many values are in range."""
     shapes = {
@@ -116,7 +169,8 @@ QUERIES = {
     name: globals()[name]
     for name in (
         "model_invariants", "model_supports", "model_confusion", "model_metrics", "model_roc_points",
-        "saved_model_invariants", "score_invariants",
+        "saved_model_invariants", "score_invariants", "tuning_invariants", "refit_invariants", "loss_invariants",
+        "shap_additivity",
     )
 }
 
@@ -144,6 +198,17 @@ ORACLE = {
     "saved_model_invariants": q(
         TRAIN, "SELECT CAST(count(*) AS BIGINT) AS users, CAST(count(*) AS BIGINT) AS alike FROM train"
     ),
+    "tuning_invariants": """SELECT CAST(trial AS INTEGER) AS trial, 10::BIGINT AS n_folds, 10::BIGINT AS different_folds,
+        10::BIGINT AS in_range, true AS value_is_mean, true AS best_is_greatest FROM range(5) t(trial)""",
+    "refit_invariants": q(
+        SPLIT,
+        """SELECT CAST(count(*) AS BIGINT) AS users, CAST(count(*) AS BIGINT) AS sound FROM split WHERE split = 'test'""",
+    ),
+    "loss_invariants": """SELECT unnest(['weighted_boosting_numeric', 'weighted_boosting_full', 'boosting_sql']) AS recipe,
+        100 AS trees, 100 AS falling""",
+    "shap_additivity": q(
+        TRAIN, "SELECT CAST(count(*) AS BIGINT) AS users, CAST(count(*) AS BIGINT) AS additive FROM train"
+    ),
     "score_invariants": q(
         TRAIN,
         union_all(

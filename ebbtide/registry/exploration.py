@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ebbtide.operators import associations as assoc
 from ebbtide.operators import distributions as dist
 from ebbtide.operators import frequencies as freq
 from ebbtide.operators.profiling import profile_table as profile
@@ -15,8 +16,11 @@ from ebbtide.schema import CATEGORIES, COUNTERS, LABEL, USER, USER_SCHEMA
 
 # the six counters drawn as box plots: the first four and the last two
 BOXED = [*COUNTERS[:4], *COUNTERS[-2:]]
+NOMINAL = [*CATEGORIES, "is_enable", "bounced", LABEL]
 PROFILED = ["user_pseudo_id", "is_enable", "bounced", *CATEGORIES, *COUNTERS, LABEL]
 
+_NUMERIC = [c for c in PROFILED if c not in (USER, *CATEGORIES)]
+
 
 def rounded(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -76,7 +80,7 @@ def mean_var(spark, folder):
 
 def histogram_bins(spark, folder):
     return rounded(
-        dist.histogram(common.train(spark, folder), "cnt_user_engagement", 10), "lower", "upper"
+        dist.scaled_histogram(common.train(spark, folder), "cnt_user_engagement", 10), "lower", "upper"
     )
 
 
@@ -100,6 +104,28 @@ def profile_table(spark, folder):
     return rounded(profile(common.users(spark, folder).select(*PROFILED)), "number")
 
 
+def rank_correlations(spark, folder):
+    """Spearman and Kendall of all two numeric columns of the profile."""
+    return rounded(assoc.rank_correlations(common.users(spark, folder), _NUMERIC), "spearman", "kendall")
+
+
+def nominal_associations(spark, folder):
+    """Cramer's V of all two categories and flags of the profile."""
+    return rounded(assoc.nominal_associations(common.users(spark, folder), NOMINAL), "cramers_v")
+
+
+def missing_correlations(spark, folder):
+    """Correlation of missing values; a counter without events counts as missing."""
+    users = common.users(spark, folder)
+    sparse = [F.when(F.col(c) > 0, F.col(c)).alias(c) for c in COUNTERS]
+    return rounded(assoc.missing_correlations(users.select(*CATEGORIES, *sparse), [*CATEGORIES, *COUNTERS]), "corr")
+
+
+def pairwise_densities(spark, folder):
+    """Densities per label on the pair plot's diagonal."""
+    return rounded(dist.density_by_label(common.train(spark, folder), list(COUNTERS)), "value", "density")
+
+
 QUERIES = {
     "value_counts": value_counts,
     "lang_prefix_counts": lang_prefix_counts,
@@ -119,6 +145,10 @@ QUERIES = {
     "pairwise_bins": pairwise_bins,
     "daily_label_counts": daily_label_counts,
     "profile_table": profile_table,
+    "rank_correlations": rank_correlations,
+    "nominal_associations": nominal_associations,
+    "missing_correlations": missing_correlations,
+    "pairwise_densities": pairwise_densities,
 }
 
 
@@ -137,7 +167,6 @@ def long_sql(source: str, columns, label: str = "") -> str:
 _TOP10 = """(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}
   ORDER BY count(*) DESC, {c} LIMIT 10)"""
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in USER_SCHEMA.fieldNames())
-_NUMERIC = [c for c in PROFILED if c not in (USER, *CATEGORIES)]
 _PAIR_BINS = ", ".join(
     f"""CAST(CASE WHEN hi_{c} = lo_{c} THEN least(floor(({c} - lo_{c} + 0.5::DOUBLE) / 0.1::DOUBLE), 9)
     ELSE least(floor(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / 10)), 9) END AS INTEGER) AS {c}"""
@@ -188,6 +217,25 @@ _PROFILE_PARTS = [
     ],
 ]
 
+def _pairs_sql(columns, kind: str) -> str:
+    """CTE body: one row per user and two columns in which both have a value."""
+    return union_all(
+        f"SELECT '{x}' AS x, '{y}' AS y, CAST({x} AS {kind}) AS a, CAST({y} AS {kind}) AS b FROM users "
+        f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
+        for x, y in combinations(columns, 2)
+    )
+
+
+_CELLS = "cells AS (SELECT x, y, a, b, count(*) AS n FROM p GROUP BY ALL)"
+_SIDES = """sides AS (SELECT x, y, 'x' AS side, a AS v, count(*) AS n FROM p GROUP BY ALL
+  UNION ALL SELECT x, y, 'y', b, count(*) FROM p GROUP BY ALL)"""
+_MISSING = ", ".join(
+    [
+        *[f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in CATEGORIES],
+        *[f"CAST(coalesce({c}, 0) <= 0 AS INTEGER) AS {c}" for c in COUNTERS],
+    ]
+)
+
 ORACLE = {
     "value_counts": q(
         USERS,
@@ -249,14 +297,68 @@ ORACLE = {
         """SELECT "column", round(avg(v), 6) AS mean, round(var_samp(v), 6) AS variance
         FROM long GROUP BY "column\"""",
     ),
+    "rank_correlations": q(
+        f"{USERS}, p AS ({_pairs_sql(_NUMERIC, 'DOUBLE')}), {_CELLS}, {_SIDES}",
+        """, r AS (SELECT x, y, corr(rx, ry) AS spearman FROM (SELECT x, y,
+            rank() OVER (PARTITION BY x, y ORDER BY a) + (count(*) OVER (PARTITION BY x, y, a) - 1) / 2 AS rx,
+            rank() OVER (PARTITION BY x, y ORDER BY b) + (count(*) OVER (PARTITION BY x, y, b) - 1) / 2 AS ry FROM p)
+          GROUP BY x, y),
+        k AS (SELECT c.x, c.y, sum(c.n * d.n * sign(d.b - c.b)) AS s FROM cells c
+          JOIN cells d ON c.x = d.x AND c.y = d.y AND c.a < d.a GROUP BY ALL),
+        t AS (SELECT x, y, CAST(sum(n) FILTER (side = 'x') AS BIGINT) AS n, sum(n * (n - 1) / 2) FILTER (side = 'x') AS tx,
+          sum(n * (n - 1) / 2) FILTER (side = 'y') AS ty FROM sides GROUP BY x, y)
+        SELECT x, y, n, CASE WHEN isfinite(spearman) THEN round(spearman, 6) END AS spearman,
+          CASE WHEN n * (n - 1) / 2 > tx AND n * (n - 1) / 2 > ty THEN
+            round(coalesce(s, 0) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) END AS kendall
+        FROM t JOIN r USING (x, y) LEFT JOIN k USING (x, y)""",
+    ),
+    "nominal_associations": q(
+        f"{USERS}, p AS ({_pairs_sql(NOMINAL, 'VARCHAR')}), {_CELLS}, {_SIDES}",
+        """, t AS (SELECT x, y, CAST(sum(n) FILTER (side = 'x') AS BIGINT) AS n, count(*) FILTER (side = 'x') AS kx,
+          count(*) FILTER (side = 'y') AS ky FROM sides GROUP BY x, y),
+        f AS (SELECT c.x, c.y, sum(c.n * 1.0::DOUBLE * c.n / u.n / v.n) - 1 AS phi FROM cells c
+          JOIN sides u ON u.x = c.x AND u.y = c.y AND u.side = 'x' AND u.v = c.a
+          JOIN sides v ON v.x = c.x AND v.y = c.y AND v.side = 'y' AND v.v = c.b GROUP BY ALL)
+        SELECT x, y, n, kx AS categories_x, ky AS categories_y, CASE WHEN kx > 1 AND ky > 1 THEN round(sqrt(
+          greatest(0, phi - (kx - 1) * (ky - 1) / (n - 1))
+          / least(kx - 1 - (kx - 1) * (kx - 1) / (n - 1), ky - 1 - (ky - 1) * (ky - 1) / (n - 1))), 6) END AS cramers_v
+        FROM t JOIN f USING (x, y)""",
+    ),
+    "missing_correlations": q(
+        f"{USERS}, m AS (SELECT {_MISSING} FROM users)",
+        union_all(
+            f"""SELECT '{x}' AS x, '{y}' AS y, CAST(sum({x}) AS BIGINT) AS missing_x, CAST(sum({y}) AS BIGINT) AS missing_y,
+            CAST(sum({x} * {y}) AS BIGINT) AS both, round(corr({x}, {y}), 6) AS corr FROM m
+            HAVING sum({x}) > 0 AND sum({x}) < count(*) AND sum({y}) > 0 AND sum({y}) < count(*)"""
+            for x, y in combinations([*CATEGORIES, *COUNTERS], 2)
+        ),
+    ),
+    "pairwise_densities": q(
+        f"""{TRAIN}, long AS ({long_sql('train', COUNTERS, 'churned, ')}),
+        shape AS (SELECT churned, "column", count(v) AS n, min(v) AS lo, max(v) AS hi,
+          stddev_samp(v) * pow(count(v), -0.2::DOUBLE) AS w FROM long WHERE v IS NOT NULL GROUP BY ALL HAVING min(v) < max(v)),
+        whole AS (SELECT "column", count(v) AS all_n FROM long GROUP BY "column"),
+        points AS (SELECT *, lo - 3 * w + p * ((hi - lo + 6 * w) / 199) AS spot
+          FROM shape JOIN whole USING ("column") CROSS JOIN range(200) AS r(p)),
+        placed AS (SELECT churned, "column", (v - lo) / w * 512 AS place FROM long JOIN shape USING (churned, "column")),
+        halves AS (SELECT churned, "column", floor(place) AS node, 1 - (place - floor(place)) AS mass FROM placed
+          UNION ALL SELECT churned, "column", floor(place) + 1, place - floor(place) FROM placed),
+        nodes AS (SELECT churned, "column", node, sum(mass) AS mass FROM halves GROUP BY ALL)""",
+        """SELECT churned, "column", CAST(p AS INTEGER) AS point, round(spot, 6) AS value, round(sum(mass
+          * exp(-pow((spot - (lo + node / 512 * w)) / w, 2) / 2)) / (sqrt(2 * pi()) * w * all_n), 6) AS density
+        FROM points JOIN nodes USING (churned, "column") GROUP BY churned, "column", p, spot, w, all_n""",
+    ),
     "histogram_bins": q(
         f"""{TRAIN}, lim AS (SELECT CAST(min(cnt_user_engagement) AS DOUBLE) AS lo,
         CAST(max(cnt_user_engagement) AS DOUBLE) AS hi FROM train),
         filled AS (SELECT CAST(least(floor((cnt_user_engagement - lo) / ((hi - lo) / 10)), 9) AS INTEGER)
           AS bin, count(*) AS n FROM train, lim GROUP BY ALL)""",
-        """SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + b.bin * ((hi - lo) / 10), 6) AS lower,
-        round(lo + (b.bin + 1) * ((hi - lo) / 10), 6) AS upper, coalesce(n, 0) AS cnt
-        FROM range(10) AS b(bin) CROSS JOIN lim LEFT JOIN filled ON filled.bin = b.bin""",
+        """, edges AS (SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * ((hi - lo) / 10) AS lower,
+          lo + (b.bin + 1) * ((hi - lo) / 10) AS upper, coalesce(n, 0) AS cnt
+          FROM range(10) AS b(bin) CROSS JOIN lim LEFT JOIN filled ON filled.bin = b.bin),
+        m AS (SELECT avg(cnt_user_engagement) AS mean, stddev_pop(cnt_user_engagement) AS std FROM train)
+        SELECT 'raw' AS scale, bin, round(lower, 6) AS lower, round(upper, 6) AS upper, cnt FROM edges
+        UNION ALL SELECT 'scaled', bin, round((lower - mean) / std, 6), round((upper - mean) / std, 6), cnt FROM edges, m""",
     ),
     "boxplot_stats": q(
         f"""{TRAIN}, long AS ({long_sql('train', BOXED, 'churned, ')}),
