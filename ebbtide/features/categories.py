@@ -14,7 +14,7 @@ from ebbtide.features.base import (
     TypeConverters,
     keyword_only,
 )
-from ebbtide.functions.running import running_totals, text_order_key
+from ebbtide.functions.running import running_totals
 from ebbtide.operators.frequencies import value_frequencies
 
 OTHER = "other"
@@ -29,17 +29,13 @@ def common_categories(
     the least frequent category.
     """
     freq = value_frequencies(df, columns).where(F.col("value").isNotNull())
-    if order == "value":
-        keyed, descending = freq.withColumn("_key", text_order_key("value")), False
-    else:
-        keyed, descending = freq.withColumn("_key", F.col("cnt")), True
     running = running_totals(
-        keyed,
-        "_key",
+        freq,
+        "value" if order == "value" else "cnt",
         {"cnt": "_upto"},
         by=["column"],
         ties=["value"],
-        descending=descending,
+        descending=order != "value",
         totals={"cnt": "_total"},
     )
     return (

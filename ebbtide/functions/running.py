@@ -5,35 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.session import materialize
 
-ROWS_PER_CUT = 8  # sampled rows per range
 
+def with_ranges(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFrame:
+    """Add `_range`: the rows in ranges of the given order, numbered in that order.
 
-def text_order_key(col: str | Column) -> Column:
-    """A number that grows with the byte order of a text: its first seven bytes."""
-    head = F.substring(F.encode(col, "UTF-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
-
-
-def with_ranges(df: DataFrame, key: str, ranges: int = 200) -> DataFrame:
-    """Add `_range`: about equally filled ranges of the numeric `key`, numbered from below.
-
-    The cuts come from a fixed number of rows, those with the smallest hash. They are the
-    same however often and in whatever order tasks run, which approximate quantiles are
-    not: two branches of a plan that cut the same frame must agree. Hashing whole rows also
-    keeps all columns alive, so that the branches share one shuffle of `df`.
+    A range exchange on the values themselves deals the rows out, into as many ranges as the session's
+    shuffle partitions, fewer for few bytes, or `ranges` at most; rows that are equal in the order share
+    one. The result is stored, so that branches of a plan that read it agree on the ranges.
     """
-    sample = df.orderBy(F.xxhash64(*df.columns), key).limit(ranges * ROWS_PER_CUT)
-    ordered = sample.agg(F.sort_array(F.collect_list(key)).alias("_keys"))
-    places = F.sequence(F.lit(1), F.lit(ranges - 1))
-    cuts = F.array_distinct(
-        F.transform(
-            places, lambda i: F.get("_keys", F.floor(i * F.size("_keys") / ranges).cast("int"))
-        )
-    )
-    edges = ordered.select(cuts.alias("_cuts"))
-    below = F.size(F.filter("_cuts", lambda edge: edge < F.col(key)))
-    return df.crossJoin(F.broadcast(edges)).withColumn("_range", below).drop("_cuts")
+    spread = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return materialize(spread.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
@@ -43,28 +26,21 @@ def running_totals(
     by: list[str] | None = None,
     ties: list[str] | None = None,
     descending: bool = False,
-    ranges: int = 200,
+    ranges: int | None = None,
     totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of `sums` ({input column: output column}) in the order of `key`.
 
-    Rows are cut into ranges of the numeric `key` (see `with_ranges`). Each range of each
-    group is summed in its own task and moved by the total of the ranges before it; only
-    those totals (at most `ranges` rows per group of `by`) meet in one place. Callers
-    aggregate to one row per key value first, so a frequent value is a single row here; rows with equal
-    keys are put in order by `ties`. `totals` adds sums over all rows of the group.
+    Rows are put in ranges of the groups and the key, of any type (see `with_ranges`). Each range of each
+    group is summed in its own task and moved by the total of the ranges before it; only those totals (a
+    row per range of a group) meet in one place. Callers aggregate to one row per key value first, so a
+    frequent value is a single row here; rows with equal keys are put in order by `ties`, which also tell
+    ranges apart. `totals` adds sums over all rows of the group.
     """
-    by = by or []
-    ranged = with_ranges(df, key, ranges)
-
-    def ordered(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
-
-    before = (
-        Window.partitionBy(*by)
-        .orderBy(ordered("_range"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by, ties = by or [], [t for t in ties or [] if t != key]
+    order = [F.col(key).desc() if descending else F.col(key).asc(), *[F.col(t).asc() for t in ties]]
+    ranged = with_ranges(df, *[F.col(c) for c in by], *order, ranges=ranges)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*by, "_range")
         .agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
@@ -79,7 +55,7 @@ def running_totals(
     )
     inside = (
         Window.partitionBy(*by, "_range")
-        .orderBy(ordered(key), *[F.col(t) for t in (ties or [])])
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     on = [F.col("_range") == F.col("_off_range")]
@@ -93,5 +69,7 @@ def running_totals(
         return result
     whole = [F.sum(c).alias(out) for c, out in totals.items()]
     if not by:
-        return result.crossJoin(F.broadcast(df.agg(*whole)))  # one row
-    return result.join(df.groupBy(*by).agg(*whole), by)
+        return result.crossJoin(F.broadcast(ranged.agg(*whole)))  # one row
+    per_group = ranged.groupBy(*[F.col(c).alias(f"_all_{c}") for c in by]).agg(*whole)
+    same = [F.col(c).eqNullSafe(F.col(f"_all_{c}")) for c in by]
+    return result.join(per_group, same).drop(*[f"_all_{c}" for c in by])
