@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from compare import connect, mismatch
@@ -92,8 +93,8 @@ def test_collection_of_strings_against_brute_force():
             for s, p in zip(strings, places):
                 for i in range(len(s) - length + 1):
                     best[s[i : i + length]] = min(best.get(s[i : i + length], 99), p)
-            for s, got in zip(strings, suffix_dedup.smallest_places(strings, places, length)):
-                assert [best[s[i : i + length]] for i in range(len(s) - length + 1)] == list(got)
+            expected = [[best[s[i : i + length]] for i in range(len(s) - length + 1)] for s in strings]
+            assert [list(g) for g in suffix_dedup.smallest_places(strings, places, length)] == expected
     assert suffix_dedup.smallest_places([], np.zeros(0, np.int64)) == []
 
 
@@ -115,15 +116,75 @@ def repeats_brute(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("wide", [4096, 0])
+@pytest.mark.parametrize("wide", [1 << 20, 0])
 def test_repeated_strings_of_edge_rows(spark, wide):
     """wide = 0 sends each window of a shared anchor by itself."""
-    got = suffix_dedup.remove_repeats(edge_docs(spark), chunk_bytes=20_000, collection_bytes=30_000, wide_chunks=wide)
+    got = suffix_dedup.remove_repeats(edge_docs(spark), chunk_bytes=20_000, collection_bytes=30_000, wide_bytes=wide)
     found = sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect())
     assert found == repeats_brute(EDGE, 50)
     assert sum(f[2] for f in found) > 50_000
 
 
+def test_strings_alone_with_their_anchor_are_left_out(monkeypatch):
+    """Segments as they are cut from texts: the same places with and without the lone ones in the collection."""
+    draw = random.Random(8)
+    base = [prose(i, 40).encode() for i in range(6)]
+    texts = [b + prose(90 + i, 30).encode() for i, b in enumerate(base)] + [prose(60 + i, 9).encode() + b for i, b in enumerate(base[:3])]
+    segments = {}
+    for place, text in enumerate(texts):
+        start, count, _ = suffix_dedup.runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 50)
+        for s, c in zip(start.tolist(), count.tolist()):
+            segments.setdefault(text[s : s + c + 49], place)
+    strings, places = list(segments), np.array(list(segments.values()))
+    draw.shuffle(strings)
+    places = np.array([segments[s] for s in strings])
+    whole = suffix_dedup.smallest_places(strings, places)
+    sent = []
+    build = suffix_dedup.smallest_places
+    monkeypatch.setattr(suffix_dedup, "smallest_places", lambda own, *rest: sent.extend(own) or build(own, *rest))
+    assert [list(g) for g in suffix_dedup._smallest(strings, places, 50)] == [list(g) for g in whole]
+    assert 0 < len(sent) < len(strings)
+
+
+def test_segment_hashes_follow_the_bytes():
+    data = np.frombuffer(b"abcabcab" * 9, np.uint8)
+    start, size = np.array([0, 8, 16, 3, 0]), np.array([8, 8, 8, 8, 7])
+    found = suffix_dedup.segment_hashes(data, start, size)
+    assert found[0] == found[1] == found[2] and len(set(found.tolist())) == 3
+
+
+def test_a_footer_shorter_than_the_length_is_spread():
+    """A common 36-byte footer puts its anchor into every document: its windows are dealt one by one, and no
+    collection gets much more than another."""
+    draw = random.Random(4)
+    footer = b" -- all rights of this are reserved "
+    assert len(footer) == 36
+    texts = [draw.randbytes(120) + footer + draw.randbytes(60) for _ in range(3000)]
+    chunks = [pd.DataFrame({"place": range(c, 3000, 6), "body": texts[c::6], "chunk": c}) for c in range(6)]
+
+    def sizes(wide_bytes):
+        parts = 8
+        asked = pd.concat([suffix_dedup._anchor_request(50, parts)(c) for c in chunks])
+        replies = pd.concat([suffix_dedup._anchor_answer(wide_bytes)(own) for _, own in asked.groupby("to")])
+        total = Counter()
+        for number, chunk in enumerate(chunks):
+            sent = suffix_dedup._segment_request(50, parts)(chunk, replies[replies["c"] == number])
+            for part, blob in zip(sent["to"], sent["blob"]):
+                total[part] += int(suffix_dedup._unpacked(blob, "u1", "<i8", "<i8")[0].sum())
+        return total
+
+    together, apart = sizes(1 << 30), sizes(20_000)
+    assert max(together.values()) > 0.5 * sum(together.values())
+    assert max(apart.values()) < 0.25 * sum(apart.values())
+
+
+def test_repeated_rows_are_one_row_until_the_end(spark):
+    rows = [(1, prose(1), "a")] + [(2, prose(1), "a")] * 400 + [(None, prose(2), "a")] * 3 + [(3, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == repeats_brute(rows, 50)
+
+
 def test_repeated_strings_of_low_complexity(spark):
     draw = random.Random(5)
     rows = [(i, "".join(draw.choices("ab", k=draw.randrange(150))) + "ab" * draw.randrange(60), "s") for i in range(60)]
