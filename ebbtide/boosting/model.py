@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import json
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasWeightCol
@@ -18,9 +16,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.boosting.kernel import code_rows, leaf_of, Tree
+from ebbtide.boosting.kernel import Tree, code_rows, leaf_of
 from ebbtide.boosting.params import LINEAR, Booster
 from ebbtide.boosting.train import Fit, train
+from ebbtide.models.margin import add_scores
 
 
 class _Columns(HasFeaturesCol, HasLabelCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -161,18 +160,4 @@ class BoostedModel(Model, _Columns):
         return margins
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        margins = self._margins()
-
-        @F.pandas_udf("double")
-        def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for vectors in batches:
-                yield pd.Series(margins(np.stack(vectors.to_numpy())) if len(vectors) else [], dtype=float)
-
-        scored = df.withColumn("_margin", margin(vector_to_array(self.getFeaturesCol())))
-        p = 1 / (1 + F.exp(-F.col("_margin")))
-        return (
-            scored.withColumn("rawPrediction", array_to_vector(F.array(-F.col("_margin"), F.col("_margin"))))
-            .withColumn("probability", array_to_vector(F.array(1 - p, p)))
-            .withColumn("prediction", (F.col("_margin") > 0).cast("double"))
-            .drop("_margin")
-        )
+        return add_scores(df, self.getFeaturesCol(), self._margins())

@@ -54,6 +54,7 @@ class Fit:
     gains: list[list[float]] = field(default_factory=list)
     covers: list[list[float]] = field(default_factory=list)
     linear: np.ndarray | None = None
+    linears: list[np.ndarray] = field(default_factory=list)
     loss: list[tuple[float, float]] = field(default_factory=list)
     confusion: tuple[int, int, int, int] = (0, 0, 0, 0)
 
@@ -64,9 +65,11 @@ class Fit:
         return bool(patience) and len(held) > patience and min(held[-patience:]) >= min(held[:-patience])
 
     def cut_to_best(self) -> None:
-        """Only the trees up to the least loss on held rows."""
-        if self.booster.early_stop and self.booster.kind != LINEAR:
+        """Only what was learned up to the least loss on held rows."""
+        if self.booster.early_stop:
             best = int(np.argmin([h for _, h in self.loss]))
+            if self.linears:
+                self.linear = self.linears[best - 1] if best else np.zeros_like(self.linear)
             for own in (self.trees, self.weights, self.gains, self.covers):
                 del own[best:]
 
@@ -434,6 +437,7 @@ class Trainer:
             found[:width], found[width:].reshape(width, width), w, fit.booster.reg_alpha * mass, fit.booster.reg_lambda * mass
         )
         fit.linear = w + fit.booster.eta * (goal - w)
+        fit.linears.append(fit.linear)
 
     def fit(self) -> list[Fit]:
         for number in range(max(f.booster.rounds for f in self.fits)):

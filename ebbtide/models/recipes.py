@@ -13,28 +13,30 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
 from ebbtide.boosting.model import BoostingClassifier
-from ebbtide.boosting.params import Booster
+from ebbtide.boosting.params import LINEAR, Booster
 from ebbtide.features.buckets import bucket_clause, transform_clause
-from ebbtide.features.builder import FEATURES, feature_names, feature_stages
+from ebbtide.features.builder import FEATURES, feature_stages
 from ebbtide.features.categories import onehot_stages
 from ebbtide.features.weights import LabelWeighter
+from ebbtide.functions.hashing import bucket
+from ebbtide.models.network import Network, NetworkClassifier
 from ebbtide.schema import COUNTERS, FIRST_SEEN, USER, ColumnRoles
 from ebbtide.session import ensure_checkpoint_dir
 
 SEED = 42
-WEIGHT = "_weight"
+WEIGHT, HELD = "_weight", "_held"
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """`family` picks the classifier, `features` the stages in front of it."""
+    """`family` picks the classifier, `features` the stages in front of it. `held` of ten hash buckets of
+    the training rows are held out, and training ends by the loss on them."""
 
     family: str
     features: str = "full"
@@ -42,6 +44,7 @@ class Recipe:
     params: dict = field(default_factory=dict)
     roles: ColumnRoles = ColumnRoles()
     most_common: float | None = None
+    held: int = 0
 
     def with_params(self, **params) -> "Recipe":
         return replace(self, params={**self.params, **params})
@@ -56,9 +59,11 @@ RECIPES = {
     "boosting_full": Recipe("boosting", "full"),
     "weighted_boosting_numeric": Recipe("second_order", "numeric", "base_rate"),
     "weighted_boosting_full": Recipe("second_order", "full", "base_rate"),
-    "logreg_sql": Recipe("logreg", "bins", None, {"regParam": 0.0}),
-    "boosting_sql": Recipe("second_order", "bins", "balanced"),
-    "perceptron_sql": Recipe("perceptron", "all_but_ids"),
+    "logreg_sql": Recipe(
+        "second_order", "bins", None, {"kind": LINEAR, "eta": 0.5, "reg_lambda": 0.0, "early_stop": 5}, held=2
+    ),
+    "boosting_sql": Recipe("second_order", "bins", "balanced", {"early_stop": 5}, held=2),
+    "perceptron_sql": Recipe("network", "all_but_ids", None, {"learn_rate": 0.01, "early_stop": 5}, held=2),
 }
 
 
@@ -94,8 +99,9 @@ def booster_of(recipe: Recipe) -> Booster:
     return Booster(**{"seed": SEED, **recipe.params})
 
 
-def classifier(recipe: Recipe, rows: int, width: int):
-    """The classifier of a recipe for `rows` training rows and `width` features."""
+def classifier(recipe: Recipe, rows: int):
+    """The classifier of a recipe for `rows` training rows."""
+    held = HELD if recipe.held else None
     common = {"featuresCol": FEATURES, "labelCol": recipe.roles.label}
     if recipe.weighting:
         common["weightCol"] = WEIGHT
@@ -123,12 +129,9 @@ def classifier(recipe: Recipe, rows: int, width: int):
         defaults = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": SEED}
         return GBTClassifier(**common, **{**defaults, **recipe.params})
     if recipe.family == "second_order":
-        return BoostingClassifier(**common, booster=booster_of(recipe), keyCol=USER)
-    if recipe.family == "perceptron":
-        params = dict(recipe.params)
-        hidden = params.pop("hidden", [128])
-        defaults = {"maxIter": 100, "seed": SEED, "layers": [width, *hidden, 2]}
-        return MultilayerPerceptronClassifier(**common, **{**defaults, **params})
+        return BoostingClassifier(**common, booster=booster_of(recipe), keyCol=USER, heldCol=held)
+    if recipe.family == "network":
+        return NetworkClassifier(**common, network=Network(**{"seed": SEED, **recipe.params}), keyCol=USER, heldCol=held)
     raise ValueError(f"unknown family {recipe.family!r}")
 
 
@@ -148,7 +151,9 @@ def fit_recipe(recipe: Recipe | str, train: DataFrame) -> PipelineModel:
         rows = kept.count()
         prepared = Pipeline(stages=recipe_stages(recipe)).fit(kept)
         featured = prepared.transform(kept)
-        learned = classifier(recipe, rows, len(feature_names(featured))).fit(featured)
+        if recipe.held:
+            featured = featured.withColumn(HELD, bucket(USER, 10, recipe.params.get("seed", SEED)) < recipe.held)
+        learned = classifier(recipe, rows).fit(featured)
     finally:
         kept.unpersist()
     return PipelineModel(stages=[*prepared.stages, learned])

@@ -124,15 +124,22 @@ def refit_invariants(spark, folder):
 
 
 def loss_invariants(spark, folder):
-    """Of the second-order models: trees, and rounds whose loss on the rows learned from is not above
-    that of the round before."""
-    names = ["weighted_boosting_numeric", "weighted_boosting_full", "boosting_sql"]
-    rows = []
-    for name in names:
-        learned = common.model(spark, folder, name).stages[-1]
-        losses = [own for own, _ in learned.loss]
-        rows.append((name, len(learned.trees), sum(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))))
-    return spark.createDataFrame(rows, "recipe string, trees int, falling int")
+    """Per recipe of the SQL family: kept iterations, whether one of least held-out loss is kept, and whether
+    both losses are below those of the first iteration then."""
+    losses = modeling.training_loss(spark, folder)
+    first = losses.where("iteration = 0").select("recipe", F.col("loss").alias("loss_0"), F.col("held_loss").alias("held_0"))
+    least = losses.groupBy("recipe").agg(F.min("held_loss").alias("least"))
+    return (
+        losses.where("kept")
+        .join(first, "recipe")
+        .join(least, "recipe")
+        .groupBy("recipe")
+        .agg(
+            F.count(F.lit(1)).alias("kept"),
+            F.bool_and(F.col("held_loss") == F.col("least")).alias("kept_is_least"),
+            F.bool_and((F.col("loss") < F.col("loss_0")) & (F.col("held_loss") < F.col("held_0"))).alias("learned"),
+        )
+    )
 
 
 def shap_additivity(spark, folder):
@@ -204,8 +211,8 @@ ORACLE = {
         SPLIT,
         """SELECT CAST(count(*) AS BIGINT) AS users, CAST(count(*) AS BIGINT) AS sound FROM split WHERE split = 'test'""",
     ),
-    "loss_invariants": """SELECT unnest(['weighted_boosting_numeric', 'weighted_boosting_full', 'boosting_sql']) AS recipe,
-        100 AS trees, 100 AS falling""",
+    "loss_invariants": """SELECT unnest(['logreg_sql', 'boosting_sql', 'perceptron_sql']) AS recipe,
+        1::BIGINT AS kept, true AS kept_is_least, true AS learned""",
     "shap_additivity": q(
         TRAIN, "SELECT CAST(count(*) AS BIGINT) AS users, CAST(count(*) AS BIGINT) AS additive FROM train"
     ),

@@ -129,6 +129,21 @@ def shap_one_row(spark, folder):
     return views.shap_one_row(shapley.shap_long(shapley.tree_shap(model, one), names))
 
 
+#: Recipes whose training looks at held-out rows.
+WATCHED = ("logreg_sql", "boosting_sql", "perceptron_sql")
+
+
+def training_loss(spark, folder):
+    """Mean loss per iteration of the SQL family, on the rows learned from and on those held out when
+    training began, and which iteration was kept."""
+    rows = []
+    for name in WATCHED:
+        losses = common.model(spark, folder, name).stages[-1].loss
+        kept = min(range(len(losses)), key=lambda i: losses[i][1])
+        rows += [(name, i, own, held, i == kept) for i, (own, held) in enumerate(losses)]
+    return spark.createDataFrame(rows, "recipe string, iteration int, loss double, held_loss double, kept boolean")
+
+
 def score_stream(spark, folder):
     """All users arrive as files and are scored by a saved model until none is left."""
     model = common.model(spark, folder, "boosting_full")
@@ -158,7 +173,7 @@ QUERIES = {
             "predict", "predict_proba", "predict_threshold", "score_not_yet", "save_load_model",
             "tune_cv", "tune_search", "tune_trials", "refit_best", "observations_table",
             "top_feature_importance", "shap_values", "shap_values_linear", "shap_summary",
-            "shap_distribution", "shap_one_row", "score_stream",
+            "shap_distribution", "shap_one_row", "score_stream", "training_loss",
         )
     },
 }

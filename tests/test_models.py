@@ -15,7 +15,7 @@ from ebbtide.streaming.score import arriving_users, score_stream
 from ebbtide.tuning import search
 from ebbtide.tuning.space import draws, trial_recipe
 
-SMALL = {"boosting": {"maxIter": 3}, "second_order": {"rounds": 3}, "forest": {"numTrees": 3, "maxDepth": 4}, "perceptron": {"maxIter": 5, "hidden": [4]}}
+SMALL = {"boosting": {"maxIter": 3}, "second_order": {"rounds": 3}, "forest": {"numTrees": 3, "maxDepth": 4}, "network": {"epochs": 8, "hidden": (8,), "learn_rate": 0.05}}
 
 
 @pytest.fixture(scope="module")
