@@ -95,6 +95,10 @@ def soft(g, alpha: float):
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)
 
 
+def _soft1(g: float, alpha: float) -> float:
+    return g - alpha if g > alpha else g + alpha if g < -alpha else 0.0
+
+
 def leaf_value(g: float, h: float, reg_lambda: float, reg_alpha: float) -> float:
     """The Newton step of a leaf."""
     return float(-soft(g, reg_alpha) / (h + reg_lambda)) if h + reg_lambda > 0 else 0.0
@@ -140,27 +144,24 @@ def best_split(
 
 
 def elastic_step(
-    gradient: np.ndarray, gram: np.ndarray, w: np.ndarray, l1: float, l2: float, sweeps: int = 1000
+    gradient: np.ndarray, gram: np.ndarray, w: np.ndarray, l1: float, l2: float, sweeps: int = 5
 ) -> np.ndarray:
-    """The minimum of the loss's quadratic model around `w` with both penalties, by cyclic coordinate
-    descent with soft thresholds. The last coordinate is the intercept, which is not penalised."""
+    """Towards the minimum of the loss's quadratic model around `w` with both penalties, by sweeps of
+    cyclic coordinate descent with soft thresholds. The last coordinate is the intercept, which is not
+    penalised. The model changes with each round, so a few sweeps a round are enough."""
     new, slope = w.copy(), gradient.copy()
     last = len(w) - 1
     for _ in range(sweeps):
-        most = 0.0
         for j in range(len(w)):
             curve = gram[j, j]
             if j == last:
                 goal = new[j] - slope[j] / curve if curve > 0 else new[j]
             elif curve + l2 > 0:
-                goal = float(soft(curve * new[j] - slope[j], l1)) / (curve + l2)
+                goal = _soft1(curve * new[j] - slope[j], l1) / (curve + l2)
             else:
                 goal = 0.0
             step = goal - new[j]
             if step:
                 slope += gram[:, j] * step
                 new[j] = goal
-                most = max(most, abs(step))
-        if most < 1e-10:
-            break
     return new

@@ -4,7 +4,9 @@ The rows of a fit's part (a fold with the features learned for it) lie in blocks
 the codes, labels, weights and keys of up to BLOCK_ROWS rows, and the margins that the part's fits
 have come to. A job sums, for every fit and open node, gradients and Hessians per feature and code
 over the blocks of a task, adds the tasks' histograms up by (fit, node), and finds the splits where they
-meet. The driver gets a split per node, as large as the model; trees go out with the next job. Margins
+meet. The driver gets a split per node, as large as the model; trees go out with the next job. A part
+that is one block has its sums complete where the block lies, so the task goes on and grows the round's
+trees of that part to the end, by the same functions: sums being exact, the trees are the same. Margins
 are stored every STORE_EVERY rounds, and those of the trees since then computed as needed, so lineage
 stays short and no state is lost with an executor.
 """
@@ -12,6 +14,7 @@ stays short and no state is lost with an executor.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -194,6 +197,7 @@ class _Order:
     nodes: list[int] = field(default_factory=list)
     losses: bool = False
     afresh: bool = False
+    grow: bool = False
 
     def margin(self, rows: _Rows) -> np.ndarray:
         """Margin without the trees whose weight is zero here (dropped ones)."""
@@ -226,7 +230,6 @@ class Trainer:
             F.sum(F.when(F.col("held"), 0).otherwise(F.col("weight"))).alias("learning"),
             F.sum(F.when(F.col("held"), F.col("weight")).otherwise(0)).alias("held"),
         ).collect()
-        self.rows = sum(r["n"] for r in stats)
         self.total = {r["part"]: (r["learning"] or 0.0, r["held"] or 0.0) for r in stats}
         # running sums of n rounded gradients over all features stay below 2**52, where doubles are exact
         self.scale = {}
@@ -239,13 +242,14 @@ class Trainer:
             self.slots[number] = taken[kind]
             taken[kind] += 1
         self.stored = 0
-        self.blocks = self._keep(self._cut(taken))
+        self.blocks = self._keep(self._cut(taken, max([r["n"] for r in stats], default=0)))
+        self.count = {r["part"]: r["count"] for r in self.blocks.groupBy("part").count().collect()}
 
-    def _cut(self, taken: dict) -> DataFrame:
+    def _cut(self, taken: dict, largest: int) -> DataFrame:
         slots = {p: taken.get((p, False), 0) for p in self.cuts}
         linear = {f.part for f in self.fits if f.booster.kind == LINEAR}
-        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(self.rows / BLOCK_ROWS))
-        lots = math.ceil(tasks / max(1, len(self.cuts)))
+        lots = max(1, math.ceil(largest / BLOCK_ROWS))
+        tasks = lots * max(1, len(self.cuts))
         dealt = self.stack.repartition(tasks, "part", F.pmod("key", F.lit(lots))).sortWithinPartitions("part", "key")
         return dealt.mapInArrow(_into_blocks(self.cuts, slots, linear, BLOCK_ROWS), _BLOCK)
 
@@ -267,7 +271,7 @@ class Trainer:
             fit.linear, round_, afresh=afresh,
         )
 
-    def _run(self, orders: list[_Order]) -> dict[tuple[int, int], np.ndarray]:
+    def _run(self, orders: list[_Order]) -> dict[tuple[int, int], bytes]:
         """One job: what was asked for, by (fit, node); losses by (fit, -1)."""
         by_part = defaultdict(list)
         for order in orders:
@@ -279,7 +283,7 @@ class Trainer:
             part = self.fits[o.fit].part
             b = o.booster
             columns = np.array(b.columns(o.round, len(offsets[part]) - 1))
-            searched[o.fit] = (part, columns, b.reg_lambda, b.reg_alpha, b.gamma, b.min_child_weight, b.kind == LINEAR)
+            searched[o.fit] = (part, columns, b, o.grow or b.kind == LINEAR)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], np.ndarray] = {}
@@ -302,51 +306,46 @@ class Trainer:
                         if order.booster.kind == LINEAR:
                             out.append((order.fit, 0, rows.block, _gram(rows, g, h).tobytes()))
                             continue
-                        place = np.full(len(order.tree.feature), -1)
-                        place[order.nodes] = np.arange(len(order.nodes))
-                        place = place[kernel.leaf_of(order.tree, rows.codes)]
-                        salt = (order.booster.seed << 20) + order.round + 1
-                        place[rows.held | ~kernel.drawn(rows.key, salt, order.booster.subsample)] = -1
                         unit = scale[row["part"]]
-                        found = kernel.histogram(
-                            rows.codes, offset[:-1], int(offset[-1]), place, len(order.nodes), np.rint(g * unit), np.rint(h * unit)
-                        )
-                        for node, own_sums in zip(order.nodes, found):
+                        if order.grow:
+                            out.append((order.fit, 0, rows.block, pickle.dumps(_grown(order, rows, g, h, offset, unit))))
+                            continue
+                        for node, found in zip(order.nodes, _histograms(order.tree, order.nodes, order, rows, g, h, offset, unit)):
                             key = order.fit, node
-                            sums[key] = sums[key] + own_sums if key in sums else own_sums
+                            sums[key] = sums[key] + found if key in sums else found
                     yield _batch(out, _SUM)
             for at in range(0, len(sums), 256):
                 keys = list(sums)[at : at + 256]
                 yield _batch([(*key, 0, sums[key].tobytes()) for key in keys], _SUM)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, total = None, None
+            key, parts = None, []
 
             def answer() -> tuple:
-                part, columns, reg_lambda, reg_alpha, gamma, least, linear = searched[key[0]]
-                result = total
-                if key[1] >= 0 and not linear:
-                    offset = offsets[part]
-                    sums = total.reshape(2, -1) / scale[part]
-                    result = np.array(kernel.best_split(sums, offset, columns, reg_lambda, reg_alpha, gamma, least), float)
-                return (*key, 0, result.tobytes())
+                part, columns, booster, ready = searched[key[0]]
+                if len(parts) == 1 and (ready or key[1] < 0):
+                    return (*key, 0, parts[0])
+                total = sum(np.frombuffer(own) for own in parts)
+                if key[1] >= 0 and not ready:
+                    total = np.array(_split(total.reshape(2, -1) / scale[part], offsets[part], columns, booster), float)
+                return (*key, 0, total.tobytes())
 
             for batch in batches:
                 out = []
                 for fit, node, sums in zip(*[batch[c].to_pylist() for c in ("fit", "node", "sums")]):
-                    own = np.frombuffer(sums)
-                    if key == (fit, node):
-                        total = total + own
-                    else:
+                    if key != (fit, node):
                         if key:
                             out.append(answer())
-                        key, total = (fit, node), own
+                        key, parts = (fit, node), []
+                    if len(parts) == 64:
+                        parts = [sum(np.frombuffer(own) for own in parts).tobytes()]
+                    parts.append(sums)
                 yield _batch(out, _SUM)
             if key:
                 yield _batch([answer()], _SUM)
 
         met = self.blocks.mapInArrow(measure, _SUM).repartition("fit", "node").sortWithinPartitions("fit", "node", "block")
-        return {(r["fit"], r["node"]): np.frombuffer(r["sums"]) for r in met.mapInArrow(search, _SUM).collect()}
+        return {(r["fit"], r["node"]): bytes(r["sums"]) for r in met.mapInArrow(search, _SUM).collect()}
 
     def _store(self) -> None:
         """Margins, or leaves, of the trees so far go into the blocks."""
@@ -382,7 +381,10 @@ class Trainer:
     def _round(self, number: int) -> None:
         open_fits = [i for i, f in enumerate(self.fits) if number < f.booster.rounds and not f.stopped()]
         dropped = {i: self.fits[i].booster.dropped(number, self.fits[i].weights) for i in open_fits}
-        growing = {i: GrowingTree(self.fits[i].booster) for i in open_fits if self.fits[i].booster.kind != LINEAR}
+        trees = [i for i in open_fits if self.fits[i].booster.kind != LINEAR]
+        whole = {i for i in trees if self.count[self.fits[i].part] == 1}
+        growing = {i: GrowingTree(self.fits[i].booster) for i in trees if i not in whole}
+        grown = {}
         first = True
         while True:
             orders = []
@@ -393,34 +395,36 @@ class Trainer:
                     order.nodes = growing[i].wanted()
                     order.tree = growing[i].on_trial()
                 elif first:
-                    order.nodes = [0]
+                    order.nodes, order.grow = [0], i in whole
                 if order.nodes or order.losses:
                     orders.append(order)
             if first:  # with trees left out, the loss is that of another model
-                orders += [self._loss_order(i, number) for i in open_fits if dropped[i]]
+                orders += [self._loss_order(i, number, i in whole) for i in open_fits if dropped[i]]
             if not orders:
                 break
             for (i, node), found in self._run(orders).items():
                 if node < 0:
-                    self._note_loss(i, found)
+                    self._note_loss(i, np.frombuffer(found))
                 elif i in growing:
-                    f, code, left, *rest = found
+                    f, code, left, *rest = np.frombuffer(found)
                     growing[i].learn(node, Split(int(f), int(code), bool(left), *map(float, rest)))
+                elif i in whole:
+                    grown[i] = pickle.loads(found)
                 else:
-                    self._step(i, found)
+                    self._step(i, np.frombuffer(found))
             first = False
-        for i, tree in growing.items():
+        for i in trees:
             fit = self.fits[i]
             weight, factor = fit.booster.rescaled(len(dropped[i]))
             fit.weights = [w * factor if t in dropped[i] else w for t, w in enumerate(fit.weights)] + [weight]
-            fit.trees.append(tree.finished())
-            gains, covers = tree.measures()
+            tree, gains, covers = grown[i] if i in grown else (growing[i].finished(), *growing[i].measures())
+            fit.trees.append(tree)
             fit.gains.append(gains)
             fit.covers.append(covers)
 
-    def _loss_order(self, i: int, number: int) -> _Order:
+    def _loss_order(self, i: int, number: int, grow: bool = False) -> _Order:
         order = self._order(i, number)
-        order.losses = True
+        order.losses, order.grow = True, grow
         return order
 
     def _note_loss(self, i: int, found: np.ndarray) -> None:
@@ -446,7 +450,7 @@ class Trainer:
             self._round(number)
         last = [self._loss_order(i, 0) for i, f in enumerate(self.fits) if len(f.loss) <= f.booster.rounds]
         for (i, _), found in self._run(last).items():
-            self._note_loss(i, found)
+            self._note_loss(i, np.frombuffer(found))
         for fit in self.fits:
             fit.cut_to_best()
         return self.fits
@@ -475,6 +479,32 @@ class Trainer:
             self.fits[r["fit"]].confusion = tuple(r[1:])
 
 
+def _histograms(tree: Tree, nodes: list[int], order: _Order, rows: _Rows, g, h, offset: np.ndarray, unit: float) -> np.ndarray:
+    """Sums of rounded gradients of the rows that the round draws, per node and code."""
+    place = np.full(len(tree.feature), -1)
+    place[nodes] = np.arange(len(nodes))
+    place = place[kernel.leaf_of(tree, rows.codes)]
+    salt = (order.booster.seed << 20) + order.round + 1
+    place[rows.held | ~kernel.drawn(rows.key, salt, order.booster.subsample)] = -1
+    return kernel.histogram(rows.codes, offset[:-1], int(offset[-1]), place, len(nodes), np.rint(g * unit), np.rint(h * unit))
+
+
+def _split(sums: np.ndarray, offset: np.ndarray, columns: np.ndarray, booster: Booster) -> Split:
+    return kernel.best_split(
+        sums, offset, columns, booster.reg_lambda, booster.reg_alpha, booster.gamma, booster.min_child_weight
+    )
+
+
+def _grown(order: _Order, rows: _Rows, g, h, offset: np.ndarray, unit: float) -> tuple[Tree, list[float], list[float]]:
+    """The round's tree of a part that is this one block."""
+    growing = GrowingTree(order.booster)
+    columns = np.array(order.booster.columns(order.round, len(offset) - 1))
+    while nodes := growing.wanted():
+        for node, sums in zip(nodes, _histograms(growing.on_trial(), nodes, order, rows, g, h, offset, unit)):
+            growing.learn(node, _split(sums / unit, offset, columns, order.booster))
+    return growing.finished(), *growing.measures()
+
+
 def _gram(rows: _Rows, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Gradient and Gram matrix weighted by h over the rows to learn from, an intercept at the end."""
     own = ~rows.held

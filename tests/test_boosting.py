@@ -112,8 +112,11 @@ BOOSTERS = {
 }
 
 
+@pytest.mark.parametrize("block", [1 << 14, 90])
 @pytest.mark.parametrize("name", BOOSTERS)
-def test_margins_equal_plain_boosting(spark, name):
+def test_margins_equal_plain_boosting(spark, monkeypatch, name, block):
+    """Grown in one task, and level by level over several blocks."""
+    monkeypatch.setattr(jobs, "BLOCK_ROWS", block)
     data = made_up(1)
     fit = Fit(0, BOOSTERS[name])
     trainer = train(stack(spark, data), [fit], {0: {3}})
