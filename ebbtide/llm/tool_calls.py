@@ -52,6 +52,16 @@ def _errors(name, parsed, schemas: Schemas):
     return F.when(not_an_object, F.array(F.lit("not a JSON object"))).otherwise(F.array_sort(F.array_distinct(out)))
 
 
+def parsed_whole(text):
+    """The text as a variant, null if it is not one JSON value and nothing else.
+
+    The parser stops behind the first value. Inside brackets, text behind it is an error unless it closes
+    them, and no text closes both a list's and an object's.
+    """
+    inside = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))) for a, b in (("[", "]"), ('{"a":', "}"))]
+    return F.when(inside[0].isNotNull() & inside[1].isNotNull(), F.try_parse_json(text))
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): calls before it in its chain of parents, null on a cycle.
 
@@ -88,9 +98,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     conv_id, call_id, seq, content. In a conversation, depth and then seq order the calls. Of calls
     or results that share an id the first by seq counts (n_calls and n_results tell how many there
     were); a null call_id links with nothing and such rows are left out. status is the first that
-    holds of: orphan (a result without a call), cycle, invalid, pending (no result), ok. Canonical
-    JSON keeps numbers as they are written and leaves out no key; arguments that are no JSON are
-    written as a string. Empty tables give no rows; other columns are not read.
+    holds of: orphan (a result without a call), cycle, invalid, pending (no result), ok. Null seqs are
+    smallest. Canonical JSON has sorted keys and leaves out none; numbers are written as the parser reads
+    them (1.50 as 1.5, 1e2 as 100.0, integers of more than 38 digits as doubles). Arguments that are no
+    JSON object, have text behind it, repeat a key, or are larger than a variant may be are "not a JSON
+    object" and written as a string. Empty tables give no rows; other columns are not read.
     """
     key = ["conv_id", "call_id"]
     known = calls.where("call_id IS NOT NULL")
@@ -112,7 +124,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         *[F.coalesce(ordered[c], F.col(f"_r_{c}")).alias(c) for c in key],
         "seq", "depth", "name", "arguments", "parent_id", "content",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        F.try_parse_json("arguments").alias("parsed"),
+        parsed_whole(F.col("arguments")).alias("parsed"),
     )
     orphan = F.col("n_calls") == 0
     errors = F.when(~orphan, _errors(F.col("name"), F.col("parsed"), schemas)).otherwise(F.array().cast("array<string>"))

@@ -364,6 +364,22 @@ def test_greatest_keys(spark):
 # --- tool calls
 
 
+def test_text_behind_the_arguments_is_an_error(spark):
+    texts = {
+        "plain": '{"x":1}', "blank": ' {"x":1} \n', "two": '{"x":1} {"x":2}', "comma": '{"x":1},{"x":2}', "list": '{"x":1}] [',
+        "object": '{"x":1},"b":{"x":2}', "closed": '{"x":1}} {', "open": '{"x":1', "twice": '{"x":1,"x":2}', "number": '{"x":1.50}',
+    }
+    rows = [(1, k, None, None, "t", v) for k, v in texts.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, parent_id string, seq long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    found = {r.call_id: r for r in tool_calls.link_calls(calls, results, {"t": {"x": ("number", True, None, None)}}).collect()}
+    good = {"plain", "blank", "number"}
+    assert {k for k, r in found.items() if r.status == "pending"} == good
+    assert all(found[k].errors == "not a JSON object" for k in texts if k not in good)
+    assert json.loads(found["two"].json)["arguments"] == texts["two"]
+    assert found["number"].json.startswith('{"arguments":{"x":1.5},') and found["plain"].seq is None
+
+
 def test_tool_calls_by_hand(spark):
     schemas = {"add": {"x": ("integer", True, 0, 9), "note": ("string", False, None, None), "by": ("number", False, None, None)}}
     calls = [
