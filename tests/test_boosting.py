@@ -112,8 +112,9 @@ BOOSTERS = {
 }
 
 
-@pytest.mark.parametrize("block", [1 << 14, 90])
-@pytest.mark.parametrize("name", BOOSTERS)
+@pytest.mark.parametrize(
+    ("name", "block"), [*[(name, 1 << 14) for name in BOOSTERS], ("penalties", 90), ("leaves", 90)]
+)
 def test_margins_equal_plain_boosting(spark, monkeypatch, name, block):
     """Grown in one task, and level by level over several blocks."""
     monkeypatch.setattr(jobs, "BLOCK_ROWS", block)
@@ -150,29 +151,38 @@ def test_best_first_needs_as_many_jobs_as_levels():
     assert len(asked) <= 10 and max(asked) <= 2 * 20
 
 
-@pytest.mark.parametrize("blocks", [(1 << 14, 10, 3), (37, 2, 9)])
-def test_many_fits_equal_one_by_one(spark, monkeypatch, blocks):
-    """Folds and boosters of all kinds side by side, in other blocks and partitions, stored at other rounds."""
-    size, every, tasks = blocks
+KINDS = [
+    Booster(rounds=3, max_depth=3, subsample=0.6, colsample=0.5, seed=1),
+    Booster(rounds=4, max_depth=2, kind=DROPPING, rate_drop=0.4, skip_drop=0.1, seed=2),
+    Booster(rounds=4, max_depth=2, kind=DROPPING, rate_drop=0.5, drop_by_weight=True, normalise_forest=True, seed=3),
+    Booster(rounds=3, max_leaves=4, growth=LEAF_WISE, max_depth=0, seed=4),
+    Booster(rounds=4, kind=LINEAR, eta=0.5, reg_alpha=0.01, reg_lambda=0.1),
+]
+
+
+@pytest.fixture(scope="module")
+def folds(spark):
+    """Two folds of the same rows, and every kind fitted to each by itself."""
     data = made_up(2, 200)
-    kinds = [
-        Booster(rounds=4, max_depth=3, subsample=0.6, colsample=0.5, seed=1),
-        Booster(rounds=6, max_depth=2, kind=DROPPING, rate_drop=0.4, skip_drop=0.1, seed=2),
-        Booster(rounds=5, max_depth=2, kind=DROPPING, rate_drop=0.5, drop_by_weight=True, normalise_forest=True, seed=3),
-        Booster(rounds=5, max_leaves=4, growth=LEAF_WISE, max_depth=0, seed=4),
-        Booster(rounds=6, kind=LINEAR, eta=0.5, reg_alpha=0.01, reg_lambda=0.1),
-    ]
     held = [np.arange(200) % 3 == k for k in range(2)]
     frames = [stack(spark, data, k, held[k]) for k in range(2)]
     alone = []
     for k in range(2):
-        for b in kinds:
+        for b in KINDS:
             fit = Fit(k, b)
             trainer = train(frames[k], [fit], {k: {3}}, judge=True)
             alone.append((fit, trainer.cuts[k]))
+    return data, held, frames, alone
+
+
+@pytest.mark.parametrize("blocks", [(1 << 14, 10, 3), (120, 2, 9)])
+def test_many_fits_equal_one_by_one(folds, monkeypatch, blocks):
+    """Folds and boosters of all kinds side by side, in other blocks and partitions, stored at other rounds."""
+    size, every, tasks = blocks
+    data, held, frames, alone = folds
     monkeypatch.setattr(jobs, "BLOCK_ROWS", size)
     monkeypatch.setattr(jobs, "STORE_EVERY", every)
-    together = [Fit(k, b) for k in range(2) for b in kinds]
+    together = [Fit(k, b) for k in range(2) for b in KINDS]
     both = frames[0].unionAll(frames[1]).repartition(tasks)
     trainer = train(both, together, {0: {3}, 1: {3}}, judge=True)
     for (one, cuts), fit in zip(alone, together):
