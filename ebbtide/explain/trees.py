@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.boosting.model import BoostedModel
+from ebbtide.forest.model import ForestModel, read_trees
 from ebbtide.session import shared_dir
 
 
@@ -73,6 +74,32 @@ def _boosted_leaves(model: BoostedModel) -> list[Leaf]:
     return found
 
 
+def _forest_leaves(model: ForestModel) -> list[Leaf]:
+    """Leaves of an unlimited forest; below a top the paths go on in the tree that hangs there."""
+    trees = read_trees(model.trees)
+    found: list[Leaf] = []
+    for own in trees.values():
+        stack = [(-1, 0, {})]
+        while stack:
+            part, node, tests = stack.pop()
+            if part == -1 and node in own and own[-1].feature[node] < 0:
+                part, node = node, 0
+            tree = own[part]
+            feature = int(tree.feature[node])
+            if feature < 0:
+                order = sorted(tests)
+                columns = zip(*[tests[f] for f in order]) if order else [()] * 4
+                found.append(Leaf(float(tree.value[node]) / len(trees), tuple(order), *map(tuple, columns)))
+                continue
+            low, high, share, missing = tests.get(feature, (-math.inf, math.inf, 1.0, True))
+            threshold = float(tree.threshold[node])
+            for child, is_left in ((int(tree.left[node]), True), (int(tree.right[node]), False)):
+                bounds = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
+                own_share = share * float(tree.cover[child] / tree.cover[node])
+                stack.append((part, child, {**tests, feature: (*bounds, own_share, missing and is_left)}))
+    return found
+
+
 def leaves(spark: SparkSession, model) -> list[Leaf]:
     """All leaves of a boosted or bagged model; as large as the model the driver holds.
 
@@ -81,6 +108,8 @@ def leaves(spark: SparkSession, model) -> list[Leaf]:
     """
     if isinstance(model, BoostedModel):
         return _boosted_leaves(model)
+    if isinstance(model, ForestModel):
+        return _forest_leaves(model)
     weights = list(model.treeWeights)
     is_forest = "RandomForest" in type(model).__name__
     trees: dict[int, dict[int, object]] = {}

@@ -10,11 +10,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
@@ -24,6 +20,8 @@ from ebbtide.features.buckets import bucket_clause, transform_clause
 from ebbtide.features.builder import FEATURES, feature_stages
 from ebbtide.features.categories import onehot_stages
 from ebbtide.features.weights import LabelWeighter
+from ebbtide.forest.kernel import Forest
+from ebbtide.forest.model import ForestClassifier
 from ebbtide.functions.hashing import bucket
 from ebbtide.models.network import Network, NetworkClassifier
 from ebbtide.schema import COUNTERS, FIRST_SEEN, USER, ColumnRoles
@@ -99,6 +97,12 @@ def booster_of(recipe: Recipe) -> Booster:
     return Booster(**{"seed": SEED, **recipe.params})
 
 
+def forest_of(recipe: Recipe) -> Forest:
+    """The forest of a recipe, whose parameters may have the names that Spark ML gives them."""
+    names = {"numTrees": "trees", "maxDepth": "max_depth"}
+    return Forest(**{"seed": SEED, **{names.get(k, k): v for k, v in recipe.params.items()}})
+
+
 def classifier(recipe: Recipe, rows: int):
     """The classifier of a recipe for `rows` training rows."""
     held = HELD if recipe.held else None
@@ -115,16 +119,7 @@ def classifier(recipe: Recipe, rows: int):
         }
         return LogisticRegression(**common, **{**defaults, **recipe.params})
     if recipe.family == "forest":
-        defaults = {
-            "numTrees": 100,
-            "maxDepth": 30,
-            "featureSubsetStrategy": "sqrt",
-            "impurity": "gini",
-            "maxMemoryInMB": 1024,
-            "cacheNodeIds": True,  # deep trees: rows remember their node between levels
-            "seed": SEED,
-        }
-        return RandomForestClassifier(**common, **{**defaults, **recipe.params})
+        return ForestClassifier(**common, forest=forest_of(recipe), keyCol=USER)
     if recipe.family == "boosting":
         defaults = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": SEED}
         return GBTClassifier(**common, **{**defaults, **recipe.params})
