@@ -37,6 +37,8 @@ _LAST = (1 << 63) - 1
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     raw = np.array(vectors.tolist(), np.float64)
+    # by powers of two, which leaves all digits, so that no square gets too large or small
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
     return raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
