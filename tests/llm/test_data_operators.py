@@ -94,6 +94,14 @@ def test_range_join_of_parallel_vectors(spark, monkeypatch):
     assert sorted((str(r.id), r.n_links, str(r.component_id)) for r in got) == links_brute(rows)
 
 
+def test_range_join_of_extreme_vectors(spark):
+    """Their squares leave the range of doubles, their directions do not."""
+    rows = [(1, [1e-200, 0.0], 0), (2, [1e200, 1e199], 0), (3, [1.0, 0.0], 0), (4, [5e-324, 0.0], 0), (5, [0.0, -1e308], 0), (6, [0.0, -3.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in metric_join.range_join(vectors).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
+
+
 def test_range_join_of_nothing(spark):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert metric_join.range_join(vectors).count() == 0
@@ -218,6 +226,17 @@ def test_exchange_between_partitions(spark):
     assert bound <= check_sequences(alone) and check_sequences(dealt) <= check_sequences(alone) * 1.01 + 1
 
 
+def test_rounds_end_where_no_bin_is_saved(spark, caplog):
+    """Pieces above half a sequence: no two fit one, so dealing them anew saves nothing and ends."""
+    rows = [(i, 0, 0, 1100 + i % 7, 0, i) for i in range(400)]
+    pieces = spark.createDataFrame(rows, packing._PIECES)
+    with caplog.at_level("INFO", logger=packing.__name__):
+        packed = packing.pack(pieces, rows_per_task=50).collect()
+    assert check_sequences(packed) == 400 and sorted(r.uid for r in packed) == list(range(400))
+    rounds = [r.getMessage() for r in caplog.records if r.name == packing.__name__]
+    assert 1 <= len(rounds) <= 12 and "8 of 8 partitions certified" in rounds[0]
+
+
 # --- tokens and their files
 
 
