@@ -22,12 +22,11 @@ ONE = "cnt_user_engagement"
 
 
 def label_feature_split(spark, folder):
-    """Features as one vector and the label beside it, in one frame."""
+    """Features as one vector, shown to six places, and the label beside it, in one frame."""
     users = common.train(spark, folder)
     stages = Pipeline(stages=builder.feature_stages()).fit(users)
-    return stages.transform(users).select(
-        USER, F.col(LABEL).alias("label"), vector_to_array(builder.FEATURES).alias("features")
-    )
+    shown = F.transform(vector_to_array(builder.FEATURES), lambda x: F.round(x, 6) + 0.0)
+    return stages.transform(users).select(USER, F.col(LABEL).alias("label"), shown.alias("features"))
 
 
 def drop_ignored(spark, folder):
@@ -245,7 +244,7 @@ def feature_names(spark, folder):
     cells = F.posexplode(vector_to_array(builder.FEATURES)).alias("position", "value")
     means = vectors.select(cells).groupBy("position").agg(F.avg("value").alias("mean"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
-    return rounded(means.select("position", name.alias("feature"), "mean"), "mean")
+    return rounded(means.select("position", name.alias("feature"), "mean"), "mean").withColumn("mean", F.col("mean") + 0.0)
 
 
 def fit_transform_stages(spark, folder):
@@ -351,6 +350,11 @@ _FEATURE_PARTS = [
     ],
 ]
 
+# each cell with the place of its column; categories of a column stand in alphabetic order
+_FEATURE_CELLS = f"""{TRAIN}, cells AS ({union_all(
+    f"SELECT {i} AS place, * FROM ({part})" for i, part in enumerate(_FEATURE_PARTS)
+)})"""
+
 _WIDTHS = " + ".join(f"count(DISTINCT {c})" for c in CATEGORIES)
 # the kept categories of each column, and 'other' if there are others
 _COMMON_WIDTH = " + ".join(
@@ -497,4 +501,14 @@ ORACLE = {
         f"SELECT user_pseudo_id, {', '.join(_recoded(c) for c in CATEGORIES)} FROM train",
     ),
     "fit_transform_stages": q(TRAIN, union_all(_FEATURE_PARTS)),
+    "label_feature_split": q(
+        _FEATURE_CELLS,
+        """SELECT user_pseudo_id, any_value(churned) AS label, list(value + 0.0::DOUBLE ORDER BY place, feature) AS features
+        FROM cells JOIN train USING (user_pseudo_id) GROUP BY user_pseudo_id""",
+    ),
+    "feature_names": q(
+        _FEATURE_CELLS,
+        """SELECT CAST(row_number() OVER (ORDER BY place, feature) - 1 AS INTEGER) AS position, feature,
+        round(avg(value), 6) + 0.0::DOUBLE AS mean FROM cells GROUP BY place, feature""",
+    ),
 }
