@@ -202,6 +202,41 @@ def test_many_fits_equal_one_by_one(folds, monkeypatch, blocks):
     assert fit.confusion == tuple(cells)
 
 
+@pytest.mark.parametrize("block", [1 << 14, 70])
+def test_a_part_in_one_task_equals_level_by_level(spark, monkeypatch, block):
+    """Models, losses and counts of all kinds; the one way runs one job for all rounds."""
+    monkeypatch.setattr(jobs, "BLOCK_ROWS", block)
+    data = made_up(12, 200)
+    frame = stack(spark, data, held=np.arange(200) % 4 == 0)
+    kinds = [*KINDS, Booster(rounds=12, eta=0.9, max_depth=3, early_stop=2, min_child_weight=0.1)]
+    ways = []
+    for most in (1 << 26, -1):
+        monkeypatch.setattr(jobs, "WHOLE_BYTES", most)
+        own = [Fit(0, b) for b in kinds]
+        trainer = jobs.Trainer(frame, own, {0: {3}})
+        assert trainer.shared == ([] if most > 0 else list(range(len(kinds))))
+        trainer.fit(judge=True)
+        trainer.close()
+        ways.append(own)
+    for a, b in zip(*ways):
+        assert a.weights == b.weights and a.confusion == b.confusion and len(a.loss) == len(b.loss)
+        assert a.loss == [pytest.approx(pair, rel=1e-12) for pair in b.loss]
+        assert a.gains == b.gains and a.covers == b.covers and len(a.trees) == len(b.trees)
+        for s, t in zip(a.trees, b.trees):
+            assert all(np.array_equal(u, v) for u, v in zip(s, t))
+        if a.booster.kind == LINEAR:
+            assert np.array_equal(a.linear, b.linear)
+
+
+def test_parts_too_large_for_a_task_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "WHOLE_ROWS", 100)
+    frame = stack(spark, made_up(13, 150))
+    for number, shared in ((1, 1), (spark.sparkContext.defaultParallelism, 0)):
+        trainer = jobs.Trainer(frame, [Fit(0, Booster(rounds=1)) for _ in range(number)])
+        assert len(trainer.shared) == shared
+        trainer.close()
+
+
 def test_dropped_trees_are_rescaled(spark):
     """Factors by the published rule, and the loss is that of the whole model."""
     data = made_up(7, 150)
