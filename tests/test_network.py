@@ -88,3 +88,18 @@ def test_batches_share_out_all_rows(spark, rows):
         assert (sum(e.astype(int) for e in ends) == 1).all()
         seen.append(ends[0])
     assert (seen[0] != seen[1]).any()
+
+
+def test_one_block_takes_all_steps_in_its_task(spark, rows, monkeypatch):
+    """The same steps as by a job each over several blocks, but for the order of the sums."""
+    own = dict(hidden=(4,), epochs=6, batches=2, learn_rate=0.05)
+    steps = []
+    by_jobs = net._steps
+    monkeypatch.setattr(net, "_steps", lambda *a: steps.append(a) or by_jobs(*a))
+    whole = fit(rows, **own)
+    assert not steps  # no job per step
+    monkeypatch.setattr(net, "BLOCK_ROWS", 150)
+    shared = fit(rows, **own)
+    assert len(steps) == 1
+    assert [a for a, _ in whole.loss] == pytest.approx([a for a, _ in shared.loss], rel=1e-9)
+    assert [b for _, b in whole.loss] == pytest.approx([b for _, b in shared.loss], rel=1e-9)
