@@ -66,3 +66,16 @@ def test_user_dataset_is_the_same_with_salting(monkeypatch, events):
     assert sum(r[1] is None for r in unsalted) == 2
     assert sorted(user_dataset(events).collect(), key=str) == plain
     assert activity.behavior_counts(events).count() == 31  # users of odd numbers never engage
+
+
+def test_neither_side_of_a_salted_join_is_broadcast(spark, tmp_path):
+    """A small file may hold many rows: estimates of its size must not send them through the driver."""
+    spark.range(2000).selectExpr("cast(id % 50 as string) AS k", "id").write.parquet(f"{tmp_path}/facts")
+    spark.range(50).selectExpr("cast(id as string) AS k", "id AS d").write.parquet(f"{tmp_path}/dims")
+    facts, dims = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("facts", "dims"))
+    joined = skew.salted_join(facts, dims, "k", skew.heavy_keys(facts, "k"), ["id"])
+    assert joined.count() == 2000
+    joined.collect()
+    text = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in text.splitlines() if "Join [" in line and "_salt" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
