@@ -163,3 +163,36 @@ def test_spark_learners_run_on_partitions_by_rows(spark, monkeypatch):
     for name in ("logreg_numeric", "boosting_numeric"):
         recipes.fit_recipe(name, rows)
     assert seen == {"logreg": (1, 200), "boosting": (1, 200)}
+
+
+def test_a_search_learns_on_partitions_by_rows(spark, monkeypatch):
+    """Features are learned per fold, by many short jobs over the same persisted rows."""
+    seen = []
+
+    def watching(own, folded, folds):
+        seen.append((folded.rdd.getNumPartitions(), folded.count()))
+        return [(0.5,) * folds for _ in own]
+
+    monkeypatch.setattr(search, "cross_validate", watching)
+    rows = spark.range(0, 200, 1, 37).selectExpr("cast(id as string) as user_pseudo_id", "cast(id % 2 as int) as churned")
+    search.search(rows, trials=2, folds=2)
+    assert seen == [(1, 200)]
+
+
+def test_features_of_other_learners_come_on_partitions_by_rows(spark, monkeypatch):
+    seen = []
+
+    class Watching:
+        def fit(self, featured):
+            seen.append((featured.rdd.getNumPartitions(), featured.count()))
+
+    monkeypatch.setattr(recipes, "classifier", lambda recipe, rows: Watching())
+    monkeypatch.setattr(recipes, "PipelineModel", lambda stages: stages)
+    monkeypatch.setattr(recipes, "TASK_ROWS", 50)
+    columns = [f"cast(id % {i + 2} as long) as {c}" for i, c in enumerate(COUNTERS)]
+    rows = spark.range(0, 200, 1, 37).selectExpr(
+        "cast(id as string) as user_pseudo_id", "cast(id % 2 as int) as churned", *columns
+    )
+    for name in ("forest_numeric", "weighted_boosting_numeric"):
+        recipes.fit_recipe(name, rows)
+    assert seen == [(4, 200), (4, 200)]
