@@ -196,3 +196,21 @@ def test_features_of_other_learners_come_on_partitions_by_rows(spark, monkeypatc
     for name in ("forest_numeric", "weighted_boosting_numeric"):
         recipes.fit_recipe(name, rows)
     assert seen == [(4, 200), (4, 200)]
+
+
+def test_recipes_share_one_stored_split(spark, folder, monkeypatch):
+    """Eleven recipes that are fitted and scored would else split all users 22 times."""
+    made = []
+    split = common.stratified_split
+
+    def counted(known):
+        made.append(known)
+        return split(known)
+
+    monkeypatch.setattr(common, "_paths", {})
+    monkeypatch.setattr(common, "stratified_split", counted)
+    for recipe in ("logreg_numeric", "forest_full", "boosting_full"):
+        learn, test = common.parts(spark, folder, recipe)
+        assert learn.unionAll(test).exceptAll(common.train(spark, folder)).isEmpty()
+        assert learn.count() + test.count() == common.train(spark, folder).count()
+    assert len(made) == 1
