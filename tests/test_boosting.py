@@ -344,3 +344,34 @@ def test_rows_that_cannot_be_learned_from(spark):
     fit = Fit(0, Booster(rounds=2))
     train(spark.createDataFrame(rows, jobs.STACK), [fit])
     assert all(len(t.feature) == 1 and t.value[0] > 0 for t in fit.trees)
+
+
+def test_blocks_of_shared_fits_are_dealt_evenly(spark, monkeypatch):
+    """A few small files would be packed into fewer tasks than there are cores."""
+    from ebbtide.boosting import train as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(module, "WHOLE_ROWS", 0)
+    stack = spark.range(0, 800, 1, 2).selectExpr(
+        "0 as part", "xxhash64(id) as key", "false as held", "cast(id % 3 = 0 as double) as label", "1d as weight",
+        "array(cast(id % 7 as double), cast(id % 3 as double)) as x",
+    )
+    trainer = module.Trainer(stack, [module.Fit(0, module.Booster(rounds=2))])
+    sizes = trainer.blocks.rdd.glom().map(lambda rows: sum(r["n"] for r in rows)).collect()
+    assert sum(sizes) == 800 and len([n for n in sizes if n]) >= spark.sparkContext.defaultParallelism
+    assert max(sizes) <= 300
+    trainer.close()
+
+
+def test_leaves_by_flat_lookup_equal_walks():
+    """Missing codes go where the node sends them; leaves above the greatest depth keep their rows."""
+    from ebbtide.boosting import kernel
+
+    tree = kernel.Tree(
+        np.array([0, 1, -1, -1, -1]), np.array([2, 1, 0, 0, 0]), np.array([False, True, False, False, False]),
+        np.array([1, 3, 0, 0, 0]), np.array([2, 4, 0, 0, 0]), np.zeros(5), 2,
+    )
+    codes = np.array([[a, b] for a in range(5) for b in range(4)], np.uint16)
+    walked = kernel.descend(tree, codes, np.arange(len(codes)), np.zeros(len(codes), np.int64))
+    assert (kernel.leaf_of(tree, codes) == walked).all()
+    assert set(walked) == {2, 3, 4}
