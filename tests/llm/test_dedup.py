@@ -146,6 +146,56 @@ def test_strings_alone_with_their_anchor_are_left_out(monkeypatch):
     assert 0 < len(sent) < len(strings)
 
 
+def test_strings_that_share_only_their_anchor_are_left_out(monkeypatch):
+    """A common phrase shorter than the length makes no shared window, so nothing is built of its strings."""
+    draw = random.Random(3)
+    strings = [draw.randbytes(40) + b"a phrase that many have" + draw.randbytes(40) for _ in range(200)]
+    twice = draw.randbytes(30) + strings[7][20:80]
+    sent = []
+    build = suffix_dedup.smallest_places
+    monkeypatch.setattr(suffix_dedup, "smallest_places", lambda own, *rest: sent.extend(own) or build(own, *rest))
+    found = suffix_dedup._smallest([*strings, twice], np.arange(201), 50)
+    assert sent == [strings[7][20:80]] * 2
+    assert [i for i, own in enumerate(found) if own.min() < i] == [200]
+    assert (found[200][:30] == 200).all() and (found[200][30:] == 7).all()
+    assert suffix_dedup._smallest([], np.zeros(0, np.int64), 50) == []
+
+
+def test_segment_hashes_can_be_compared_between_texts():
+    a, b = b"some words that stand here", b"and again some words that stand there, and some more"
+    one = suffix_dedup.segment_hashes(np.frombuffer(a, np.uint8), np.array([0]), np.array([21]))
+    two = suffix_dedup.segment_hashes(np.frombuffer(b, np.uint8), np.array([10, 9]), np.array([21, 21]))
+    assert one[0] == two[0] != two[1]
+
+
+def test_an_anchor_is_asked_for_in_five_bytes():
+    draw = random.Random(6)
+    texts = [draw.randbytes(400) for _ in range(40)]
+    texts[30] = texts[3]
+    chunk = pd.DataFrame({"place": range(40), "body": texts, "chunk": 0})
+    bounds = np.arange(0, 400 * 41, 400)
+    keys = np.unique(suffix_dedup.runs(np.frombuffer(b"".join(texts), np.uint8), bounds, 50)[2])
+    asked = suffix_dedup._anchor_request(50, 3)(chunk)
+    assert asked["blob"].map(len).sum() == 5 * len(keys)
+    replies = pd.concat([suffix_dedup._anchor_answer(1 << 20)(own) for _, own in asked.groupby("to")])
+    shared, wide = suffix_dedup._anchors_of(replies)
+    only = np.unique(suffix_dedup.runs(np.frombuffer(texts[3], np.uint8), np.array([0, 400]), 50)[2])
+    assert not len(wide)
+    assert set(shared) == set(suffix_dedup._in_part(only % np.uint64(3), suffix_dedup._names(only)))
+
+
+def test_bodies_are_shuffled_once(spark):
+    """Only rows that come often are collapsed before the exchange by chunk, which then serves all passes."""
+    rows = [(1, None, 7, b"a")] * 150 + [(0, 2, 2, b"b")] * 3 + [(1, 7, 7, b"a")] * 2
+    frame = spark.createDataFrame(rows, "chunk long, id long, place long, body binary")
+    found = suffix_dedup._collapsed(frame, 100)
+    assert sorted((r.place, r.copies) for r in found.collect()) == [(2, 3), (7, 2), (7, 150)]
+    passed = found.groupBy("chunk").applyInPandas(lambda rows: rows[["chunk"]], "chunk long")
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(chunk#\w+, \d+\)", plan)) == 1
+    assert len(re.findall(r"hashpartitioning\(chunk#\w+, (?:id|place)#", plan)) == 1  # of those that come often
+
+
 def test_segment_hashes_follow_the_bytes():
     data = np.frombuffer(b"abcabcab" * 9, np.uint8)
     start, size = np.array([0, 8, 16, 3, 0]), np.array([8, 8, 8, 8, 7])
