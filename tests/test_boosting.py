@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from ebbtide.boosting.params import DROPPING, LEAF_WISE, LINEAR, Booster
 from ebbtide.boosting.train import Fit, train
 from ebbtide.explain import leafgame
 from ebbtide.explain.trees import leaves
+from ebbtide.session import ARROW_BYTES, ARROW_BYTES_CONF, bound_batches
 
 WIDTH = 4
 
@@ -375,3 +377,50 @@ def test_leaves_by_flat_lookup_equal_walks():
     walked = kernel.descend(tree, codes, np.arange(len(codes)), np.zeros(len(codes), np.int64))
     assert (kernel.leaf_of(tree, codes) == walked).all()
     assert set(walked) == {2, 3, 4}
+
+
+def peak_of(work):
+    """Bytes at once that `work` takes, and what it gives."""
+    tracemalloc.start()
+    try:
+        given = work()
+        return tracemalloc.get_traced_memory()[1], given
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_histogram_of_many_rows_takes_little_memory():
+    rng = np.random.default_rng(3)
+    n, each = 1 << 18, 16
+    codes, place = rng.integers(0, 8, (n, each)).astype(np.uint16), rng.integers(-1, 3, n)
+    g, h = rng.integers(-9, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+    offsets = np.arange(each) * 8
+    peak, found = peak_of(lambda: kernel.histogram(codes, offsets, 8 * each, place, 3, g, h))
+    assert peak < n * each * 8  # the cells of all rows would take that much alone
+    expected = np.zeros((3, 2, 8 * each))
+    for s, v in enumerate((g, h)):
+        for i in range(each):
+            np.add.at(expected, (place[place >= 0], s, offsets[i] + codes[place >= 0, i]), v[place >= 0])
+    assert np.array_equal(found, expected)
+
+
+def test_blocks_that_are_kept_lie_in_small_partitions(spark, monkeypatch):
+    """However many rows there are for a core: a task has a partition in memory, and a batch of it in Python."""
+    for name, value in (("BLOCK_ROWS", 4), ("KEPT_BYTES", 4 * 60), ("WHOLE_ROWS", 0), ("WHOLE_BYTES", -1)):
+        monkeypatch.setattr(jobs, name, value)
+    trainer = jobs.Trainer(stack(spark, made_up(14, 240)), [Fit(0, Booster(rounds=1)), Fit(0, Booster(kind=LINEAR, rounds=1))])
+    assert trainer.blocks.rdd.getNumPartitions() == 60 > 2 * spark.sparkContext.defaultParallelism
+    assert max(len(p) for p in trainer.blocks.rdd.glom().collect()) <= 4
+    trainer.close()
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= ARROW_BYTES
+
+
+def test_a_smaller_limit_of_batches_is_left_alone(spark):
+    before = spark.conf.get(ARROW_BYTES_CONF)
+    try:
+        for given, then in (("1m", 1 << 20), ("64m", ARROW_BYTES)):
+            spark.conf.set(ARROW_BYTES_CONF, given)
+            bound_batches(spark)
+            assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == then
+    finally:
+        spark.conf.set(ARROW_BYTES_CONF, before)
