@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 
+from ebbtide import session
 from ebbtide.boosting.kernel import losses
 from ebbtide.models import network as net
 from ebbtide.models.network import Network, NetworkClassifier, NetworkModel
+from ebbtide.session import materialize
 
 
 def made_up(seed=0, n=400):
@@ -103,3 +105,16 @@ def test_one_block_takes_all_steps_in_its_task(spark, rows, monkeypatch):
     assert len(steps) == 1
     assert [a for a, _ in whole.loss] == pytest.approx([a for a, _ in shared.loss], rel=1e-9)
     assert [b for _, b in whole.loss] == pytest.approx([b for _, b in shared.loss], rel=1e-9)
+
+
+def test_blocks_lie_in_small_partitions(spark, rows, monkeypatch):
+    """More rows for a core are more partitions, not larger ones; and nothing is left in the shared folder."""
+    kept = []
+    monkeypatch.setattr(net, "materialize", lambda df, name: kept.append(materialize(df, name)) or kept[-1])
+    monkeypatch.setattr(net, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(net, "KEPT_BYTES", 10 * (3 * 8 + 25))
+    NetworkClassifier(labelCol="label", network=Network(hidden=(2,), epochs=1), keyCol="id").fit(rows)
+    (stored,) = kept
+    assert stored not in session._stage_paths
+    found = NetworkClassifier(labelCol="label", keyCol="id")._blocks(rows, 3)
+    assert found.rdd.getNumPartitions() == 40 > spark.sparkContext.defaultParallelism
