@@ -1,5 +1,7 @@
 """Forests without a depth limit: against plain trees, handed over early or late, on any partitions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -148,3 +150,23 @@ def test_edge_rows(spark):
     assert own.transform(df.limit(0)).count() == 0
     clash = df.withColumn("tree", F.lit(1)).withColumn("node", F.lit("a"))
     assert own.transform(clash).select("tree", "node", "prediction").count() == 40
+
+
+def test_features_of_many_rows_are_looked_at_one_by_one(monkeypatch):
+    """The same trees, and at the root a fraction of the memory."""
+    x, y, w = made_up(21, 600)
+    x, weights = np.where(np.isnan(x), -np.inf, x), np.column_stack([w * (y == 0), w * (y > 0)])
+    ways = []
+    for most in (0, 1 << 14):
+        monkeypatch.setattr(kernel, "TOGETHER_ROWS", most)
+        ways.append([kernel.grow(Forest(features=f), kernel.root_name(1, t), 0, x, weights) for f in (1, 2, 4) for t in range(3)])
+    for a, b in zip(*ways):
+        assert a.depth == b.depth and all(np.array_equal(u, v) for u, v in zip(a[:-1], b[:-1]))
+
+    rng = np.random.default_rng(2)
+    large, labels = rng.random((1 << 16, 9)), rng.integers(0, 2, 1 << 16)
+    tracemalloc.start()
+    kernel.grow(Forest(features=9, max_depth=1), 7, 0, large, np.column_stack([labels == 0, labels == 1]).astype(float))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * large.nbytes
